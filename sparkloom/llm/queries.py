@@ -7,7 +7,19 @@ from .hilbert_sharding import op2_hilbert_sharding
 from .language_id import op10_language_id
 from .media import op4_iso_media
 from .mixing import OP5_SQL, op5_hash_threshold_mix
+from .substring_dedup import op9_rabin_karp_dedup
 from .toxicity import op3_toxicity_chain
 
-QUERIES = {f.__name__: f for f in (op1_hnsw, op2_hilbert_sharding, op3_toxicity_chain, op4_iso_media, op5_hash_threshold_mix, op10_language_id)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_hnsw,
+        op2_hilbert_sharding,
+        op3_toxicity_chain,
+        op4_iso_media,
+        op5_hash_threshold_mix,
+        op9_rabin_karp_dedup,
+        op10_language_id,
+    )
+}
 ORACLE_SQL = {"op5_hash_threshold_mix": OP5_SQL}
