@@ -7,7 +7,7 @@ import tempfile
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MASK = (1 << 64) - 1
 #: Fixed odd multipliers of the hashes; any odd 64-bit values would do.
@@ -144,7 +144,7 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     width = blob[0]
     first = np.frombuffer(blob, np.uint64, 1, 1)
     if not width:
-        return np.repeat(first, 1) if len(blob) == 9 else first
+        return first
     planes = np.frombuffer(blob, np.uint8, offset=9).reshape(width, -1)
     steps = np.zeros((planes.shape[1], 8), np.uint8)
     steps[:, :width] = planes.T
@@ -155,9 +155,9 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     return out
 
 
-def null_safe(left: DataFrame, right: DataFrame, names: list[str]):
-    """The condition that all ``names`` are equal, null with null."""
-    out = F.lit(True)
-    for name in names:
-        out = out & left[name].eqNullSafe(right[name])
-    return out
+KINDS = {"int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "string": T.StringType(), "binary": T.BinaryType()}
+
+
+def fields(**kinds: str | T.DataType) -> T.StructType:
+    """A schema of nullable columns; unlike a DDL string it needs no running session."""
+    return T.StructType([T.StructField(name, KINDS[kind] if isinstance(kind, str) else kind) for name, kind in kinds.items()])

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_table, slices, text_buffer
+from .common import fields, read_table, slices, text_buffer
 
 #: Fixed values of the container format: boxes that hold boxes.
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
@@ -188,7 +188,7 @@ def sample_bytes(raw: bytes, track: Track) -> bytes:
     return b"".join(raw[a:b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True))
 
 
-TRACK_FIELDS = T.StructType.fromDDL("media binary, payload binary, codec string, width int, height int, samples long, duration double, keyframe_starts array<long>, keyframe_bytes array<long>, error string")
+TRACK_FIELDS = fields(media="binary", payload="binary", codec="string", width="int", height="int", samples="long", duration="double", keyframe_starts=T.ArrayType(T.LongType()), keyframe_bytes=T.ArrayType(T.LongType()), error="string")
 
 
 def _rows(payloads: Iterator[bytes], given: bool) -> Iterator[tuple]:
@@ -219,15 +219,15 @@ def store_media(df: DataFrame, column: str, given: bool = False) -> DataFrame:
     schema = T.StructType([df.schema[c] for c in rest] + TRACK_FIELDS.fields)
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    fields = to_arrow_schema(TRACK_FIELDS)
+    arrow = to_arrow_schema(TRACK_FIELDS)
 
     def run(batches):
         for batch in batches:
             data, offsets = text_buffer(batch.column(batch.num_columns - 1))
             for a, b in slices(offsets):
                 found = list(_rows((data[offsets[i] : offsets[i + 1]].tobytes() for i in range(a, b)), given))
-                made = [pa.array([r[k] for r in found], field.type) for k, field in enumerate(fields)]
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:-1], *made], names=[*rest, *fields.names])
+                made = [pa.array([r[k] for r in found], field.type) for k, field in enumerate(arrow)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:-1], *made], names=[*rest, *arrow.names])
 
     return df.select(*rest, F.col(column)).mapInArrow(run, schema)
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import ANSWER, BLOCK, HASHES, Blocks, answers, gathered, lookup, text_column, to_buckets, told
-from .common import mix64, read_table, slices, text_buffer, word_hashes, word_spans
+from .common import fields, mix64, read_table, slices, text_buffer, word_hashes, word_spans
 
 #: Multiplier of the rolling hash over word hashes.
 WINDOW_BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -61,7 +61,7 @@ def kept_words(part: np.ndarray, local: np.ndarray, starts: np.ndarray, ends: np
     return out[mask], np.diff(total[local])
 
 
-SPANS = T.StructType.fromDDL("n_words long, n_removed long, removed array<struct<word:long,length:long>>, kept string")
+SPANS = fields(n_words="long", n_removed="long", removed=T.ArrayType(fields(word="long", length="long")), kept="string")
 
 
 def substring_dedup(df: DataFrame, key: str, text: str, size: int = 13) -> DataFrame:
