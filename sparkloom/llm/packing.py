@@ -176,8 +176,8 @@ def solve(histogram: dict[int, int], capacity: int, rounds: int = 3000, cover: f
     The dual price of a length starts at its size, which proves the area bound. Multiplicative weights keep the coverage
     even: a length's weight is exp(own * its lag + group * the lag of its sixteenth of the sizes), where lag is the share
     still uncovered, over the mean. Each round a knapsack over the priced lengths finds the best configuration, which gets
-    as many whole sequences as its scarcest length allows, up to a thousandth of all. The rounds cover the given part of the
-    demand; what rounding leaves of it is a small copy of the histogram and is placed by best fit.
+    as many sequences (a fraction) as its scarcest length allows, up to a thousandth of all. The rounds cover the given
+    part of the demand; the counts are rounded down, and what is left is placed by best fit.
     """
     lengths = np.array(sorted(x for x, n in histogram.items() if n > 0), np.int64)
     wanted = np.array([histogram[x] for x in lengths.tolist()], np.int64)
@@ -188,10 +188,10 @@ def solve(histogram: dict[int, int], capacity: int, rounds: int = 3000, cover: f
     area = lengths * wanted
     kind = np.minimum((lengths - 1) * 16 // capacity, 15)
     whole = np.maximum(np.bincount(kind, weights=area, minlength=16), 1)
-    share = max(1, int(area.sum() / capacity / 1000))
-    left, patterns = wanted.copy(), []
+    share = area.sum() / capacity / 1000
+    left, found = wanted.astype(float), {}
     for _ in range(rounds):
-        live = np.flatnonzero(left > 0)
+        live = np.flatnonzero(left > 1e-6)
         mean = float((left * lengths).sum() / area.sum())
         if 1 - mean >= cover or len(live) < 2:
             break
@@ -199,11 +199,17 @@ def solve(histogram: dict[int, int], capacity: int, rounds: int = 3000, cover: f
         lag = own * (left[live] / wanted[live] - mean) + group * (groups[kind[live]] - mean)
         counts = knapsack(lengths[live], lengths[live] * np.exp(np.clip(lag, -3, 3)), capacity)
         used = np.flatnonzero(counts)
-        counts[used] = np.minimum(counts[used], left[live[used]])
-        times = min(int((left[live[used]] // counts[used]).min()), share)
+        counts[used] = np.minimum(counts[used], wanted[live[used]])
+        times = min(float((left[live[used]] / counts[used]).min()), share)
         left[live] -= counts * times
-        patterns.append(Pattern(tuple(lengths[live[used]].tolist()), tuple(counts[used].tolist()), times))
-    return patterns + best_fit(dict(zip(lengths.tolist(), left.tolist(), strict=True)), capacity)
+        pattern = (tuple(lengths[live[used]].tolist()), tuple(counts[used].tolist()))
+        found[pattern] = found.get(pattern, 0.0) + times
+    patterns = [Pattern(*pattern, int(times + 1e-6)) for pattern, times in found.items() if times + 1e-6 >= 1]
+    rest = dict(zip(lengths.tolist(), wanted.tolist(), strict=True))
+    for p in patterns:
+        for x, n in zip(p.lengths, p.counts, strict=True):
+            rest[x] -= n * p.times
+    return patterns + best_fit(rest, capacity)
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> list[Pattern]:
