@@ -7,6 +7,7 @@ from .hilbert_sharding import op2_hilbert_sharding
 from .language_id import op10_language_id
 from .media import op4_iso_media
 from .mixing import OP5_SQL, op5_hash_threshold_mix
+from .ngram_jaccard import op6_ngram_jaccard
 from .packing import op7_config_lp_packing
 from .substring_dedup import op9_rabin_karp_dedup
 from .toxicity import op3_toxicity_chain
@@ -19,6 +20,7 @@ QUERIES = {
         op3_toxicity_chain,
         op4_iso_media,
         op5_hash_threshold_mix,
+        op6_ngram_jaccard,
         op7_config_lp_packing,
         op9_rabin_karp_dedup,
         op10_language_id,
