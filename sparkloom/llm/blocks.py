@@ -63,7 +63,7 @@ def _steps(column: Column, cuts: list[int], last: int) -> Column:
 
 def cut_points(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket starts in sorted hashes: buckets are equal ranges of the upper 32 bits."""
-    edges = -(-(np.arange(buckets, dtype=np.uint64) << np.uint64(32)) // np.uint64(buckets))
+    edges = ((np.arange(buckets, dtype=np.uint64) << np.uint64(32)) + np.uint64(buckets - 1)) // np.uint64(buckets)
     return np.append(np.searchsorted(hashes >> np.uint64(32), edges), len(hashes))
 
 
