@@ -97,7 +97,7 @@ def answers(blocks: np.ndarray, hashes: np.ndarray, extra: np.ndarray | None = N
     order = np.lexsort((hashes, blocks))
     blocks, hashes = blocks[order], hashes[order]
     names, first = np.unique(blocks, return_index=True)
-    ends = np.append(first[1:], len(blocks))
+    ends = np.append(first, len(blocks))[1:]
     extra = None if extra is None else extra[order]
     return pa.table(
         {
