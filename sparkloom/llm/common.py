@@ -129,11 +129,11 @@ def slices(offsets: np.ndarray, limit: int = 2_000_000) -> list[tuple[int, int]]
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
-    """Sorted 64-bit values as the first one and byte planes of their differences, without the planes that are all zero."""
+    """Sorted 64-bit values as the first one and byte planes of their differences, without the upper planes that are all zero."""
     if not len(values):
         return b""
     steps = np.diff(values)
-    width = (int(steps.max()).bit_length() + 7) // 8 if len(steps) else 0
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 0
     planes = steps.view(np.uint8).reshape(-1, 8)[:, :width]
     return bytes([width]) + values[:1].tobytes() + np.ascontiguousarray(planes.T).tobytes()
 

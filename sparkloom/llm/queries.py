@@ -10,6 +10,7 @@ from .mixing import OP5_SQL, op5_hash_threshold_mix
 from .ngram_jaccard import op6_ngram_jaccard
 from .packing import op7_config_lp_packing
 from .substring_dedup import op9_rabin_karp_dedup
+from .suffix_dedup import op8_suffix_dedup
 from .toxicity import op3_toxicity_chain
 
 QUERIES = {
@@ -22,6 +23,7 @@ QUERIES = {
         op5_hash_threshold_mix,
         op6_ngram_jaccard,
         op7_config_lp_packing,
+        op8_suffix_dedup,
         op9_rabin_karp_dedup,
         op10_language_id,
     )
