@@ -4,13 +4,15 @@ Only texts that can hold a repeat reach the transforms. The windows of 400 bytes
 of 240 bytes (their anchor) form a run; a run's bytes are its context. Equal windows have equal anchors at equal places, so
 1. blocks of documents exchange anchor hashes, and a context whose anchor occurs once holds no repeat;
 2. a context that occurs twice is repeated as a whole, and is represented by one copy from here on;
-3. what is left is anchors with several different contexts. Their contexts meet in buckets by anchor hash. The contexts
+3. what is left is anchors with several different contexts. Up to 64 of them meet in a bucket by anchor hash. The contexts
    of one block are a shard: its suffixes are sorted and give the shard's transform, over symbols of 50 bytes (a context's
    chains of every 50th position are its strings, so a 400-byte prefix is eight symbols). The shards' transforms are merged
    by iterative interleave refinement: each round sorts the interleave stably by the transform's symbols and carries the
    boundaries of equal prefixes along, so after eight rounds the interleave's blocks are the sets of suffixes with a common
    prefix of 400 bytes. Suffixes are never sorted again. Blocks of two or more are the repeated intervals.
-4. Each block of documents marks its repeated windows, and the bytes they cover go.
+   An anchor with more contexts lies in a passage that very many texts share; all of its contexts in one task would be an
+   unbounded group, so their windows are counted one by one by their hashes, spread over all buckets;
+4. each block of documents marks its repeated windows, and the bytes they cover go.
 
 Symbols and contexts are compared by mixed 64-bit polynomial hashes. The texts are shuffled once; blocks read the same
 exchange in all four steps.
@@ -49,17 +51,23 @@ class Rolling:
         return mix64((self.sums[end] - self.sums[start]) * self.back[start] + mix64((end - start).astype(np.uint64)))
 
 
+#: Minima are found by the upper 40 bits; the lower 24 hold the place, so longer inputs are cut into overlapping pieces.
+PLACE_BITS = 24
+
+
 def window_minima(values: np.ndarray, width: int) -> np.ndarray:
-    """Place of the least value in each run of ``width`` values, the first of equal ones (by their upper bits)."""
-    bits = max(1, len(values).bit_length())
-    low = (values >> np.uint64(bits) << np.uint64(bits)) | np.arange(len(values), dtype=np.uint64)
+    """Place of the least value in each run of ``width`` values, the first of equal ones (by their upper 40 bits)."""
+    piece = (1 << PLACE_BITS) - width
+    if len(values) - width + 1 > piece:
+        return np.concatenate([at + window_minima(values[at : at + piece + width - 1], width) for at in range(0, len(values) - width + 1, piece)])
+    low = (values >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)) | np.arange(len(values), dtype=np.uint64)
     have = 1
     while have * 2 <= width:
         low = np.minimum(low[:-have], low[have:])
         have *= 2
     if have < width:
         low = np.minimum(low[: len(low) - (width - have)], low[width - have :])
-    return (low & np.uint64((1 << bits) - 1)).astype(np.int64)
+    return (low & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
 
 
 def contexts(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -166,8 +174,14 @@ def repeated_windows(shards: list[tuple[np.ndarray, np.ndarray]], size: int) ->
     return out
 
 
-MARKS = "bucket int, block int, hashes binary, anchors binary, lengths binary, texts binary"
+MARKS = "kind int, bucket int, block int, hashes binary, extra binary, texts binary"
 ANSWER = "block int, hashes binary, extra binary"
+VERDICT = "kind int, " + ANSWER
+#: Kinds of rows: contexts repeated as a whole; contexts as texts, answered by a bit for each window; contexts whose
+#: windows are counted one by one; hashes of such windows.
+WHOLE, TEXTS, SPLIT, WINDOWS = range(4)
+#: Most different contexts of one anchor whose transforms are merged.
+FAMILY = 64
 SPANS = {"n_bytes": "long", "n_removed": "long", "removed": T.ArrayType(fields(start="long", length="long")), "kept": "binary"}
 
 
@@ -188,7 +202,7 @@ def suffix_dedup(df: DataFrame, key: str, text: str, size: int = 400) -> DataFra
 
     def runs(table: pa.Table):
         data, offsets = text_buffer(table.column(text))
-        for a, b in slices(offsets):
+        for a, b in slices(offsets, 500_000):
             yield (a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], *contexts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size))
 
     def number(table: pa.Table) -> int:
@@ -238,70 +252,84 @@ def suffix_dedup(df: DataFrame, key: str, text: str, size: int = 400) -> DataFra
         first = np.ones(len(order), bool)
         first[1:] = anchor[1:] != anchor[:-1]
         family = np.cumsum(first) - 1
-        mixed = np.bincount(family, weights=fresh)[family] > 1
-        flag = (sure + 2 * (mixed & fresh)).astype(np.uint8)  # 1: repeated as a whole, 2: this block sends the context
+        many = np.bincount(family, weights=fresh)[family]
+        merge, split = (many > 1) & (many <= FAMILY), many > FAMILY
+        # 1: repeated as a whole; 2: this block sends the context; 4: its windows are counted; 8: they count twice
+        flag = (sure + 2 * (merge & fresh) + 4 * (split & ~sure) + 8 * (split & sure & fresh)).astype(np.uint8)
         use = flag > 0
         return answers(block[use], context[use], flag[use])
 
-    def emit_texts(table: pa.Table, answer: pa.Table) -> pa.Table:
-        out = {name: [] for name in ("bucket", "block", "hashes", "anchors", "lengths", "texts")}
-
-        def add(*row):
-            for name, value in zip(out, row, strict=True):
-                out[name].append(value)
-
+    def emit_marks(table: pa.Table, answer: pa.Table) -> pa.Table:
+        out: list[tuple] = []
         if table.num_rows and answer.num_rows:
+            own = number(table)
             known, flag = told(answer, np.uint8)
-            whole = known[(flag & 1) > 0]
-            add(number(table) % buckets, number(table), pack_sorted(np.unique(whole)), None, None, None)
-            send = known[(flag & 2) > 0]
+            for kind, bit in ((WHOLE, 1), (SPLIT, 4)):
+                out.append((kind, own % buckets, own, pack_sorted(np.unique(known[(flag & bit) > 0])), None, None))
+            send, one, two = (known[(flag & bit) > 0] for bit in (2, 4, 8))
             picked: dict[int, tuple[int, bytes]] = {}
+            windows, twice, seen = [], [], set()
             for _, _, part, _, lo, hi, anchor, context in runs(table):
                 for i in np.flatnonzero(lookup(context, send)[0]).tolist():
                     if int(context[i]) not in picked:
                         picked[int(context[i])] = (int(anchor[i]), part[lo[i] : hi[i] + size].tobytes())
+                counted, doubled = lookup(context, one)[0], lookup(context, two)[0]
+                for i in np.flatnonzero(doubled).tolist():  # one copy speaks for all
+                    doubled[i] = int(context[i]) not in seen
+                    seen.add(int(context[i]))
+                if counted.any() or doubled.any():
+                    every = Rolling(part).every(size)
+                    windows.append(every[_ranges(lo[counted], hi[counted])])
+                    twice.append(every[_ranges(lo[doubled], hi[doubled])])
             rows = sorted((a, c, t) for c, (a, t) in picked.items())
             cut = cut_points(np.array([r[0] for r in rows], np.uint64), buckets)
             for b in np.flatnonzero(np.diff(cut)).tolist():
-                own = rows[cut[b] : cut[b + 1]]
-                add(b, number(table), np.array([r[1] for r in own], np.uint64).tobytes(), np.array([r[0] for r in own], np.uint64).tobytes(), np.array([len(r[2]) for r in own], np.int64).tobytes(), b"".join(r[2] for r in own))
-        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
-        return pa.table([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
-
-    def meet_texts(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: (r["block"], r["texts"] is not None))
-        shards, owners, out = [], [], []
-        for r in rows:
-            if r["texts"] is None:
-                out.append((r["block"], r["hashes"], None))
-                continue
-            lengths = np.frombuffer(r["lengths"], np.int64)
-            shards.append((np.frombuffer(r["texts"], np.uint8), np.concatenate([[0], np.cumsum(lengths)])))
-            owners.append(r)
-        for r, mark, (_, offsets) in zip(owners, repeated_windows(shards, size) if shards else [], shards, strict=True):
+                mine = rows[cut[b] : cut[b + 1]]
+                out.append((TEXTS, b, own, np.array([r[1] for r in mine], np.uint64).tobytes(), np.array([len(r[2]) for r in mine], np.int64).tobytes(), b"".join(r[2] for r in mine)))
+            if windows:
+                hashes, times = np.concatenate(windows + twice), np.repeat([1, 2], [sum(map(len, windows)), sum(map(len, twice))])
+                hashes, group = np.unique(hashes, return_inverse=True)
+                times = np.minimum(np.bincount(group, weights=times), 2).astype(np.uint8)
+                cut = cut_points(hashes, buckets)
+                out += [(WINDOWS, b, own, pack_sorted(hashes[cut[b] : cut[b + 1]]), times[cut[b] : cut[b + 1]].tobytes(), None) for b in np.flatnonzero(np.diff(cut)).tolist()]
+        kinds = [pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 3]
+        return pa.table([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["kind", "bucket", "block", "hashes", "extra", "texts"])
+
+    def meet_marks(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: (r["block"], r["kind"]))
+        out = [(r["kind"], r["block"], r["hashes"], None) for r in rows if r["kind"] in (WHOLE, SPLIT)]
+        counted = [r for r in rows if r["kind"] == WINDOWS]
+        if counted:
+            parts = [unpack_sorted(r["hashes"]) for r in counted]
+            hashes, group = np.unique(np.concatenate(parts), return_inverse=True)
+            repeated = np.bincount(group, weights=np.concatenate([np.frombuffer(r["extra"], np.uint8) for r in counted])) > 1
+            at = 0
+            for r, part in zip(counted, parts, strict=True):
+                out.append((WINDOWS, r["block"], pack_sorted(part[repeated[group[at : at + len(part)]]]), None))
+                at += len(part)
+        texts = [r for r in rows if r["kind"] == TEXTS]
+        shards = [(np.frombuffer(r["texts"], np.uint8), np.concatenate([[0], np.cumsum(np.frombuffer(r["extra"], np.int64))])) for r in texts]
+        for r, mark, (_, offsets) in zip(texts, repeated_windows(shards, size) if shards else [], shards, strict=True):
             hashes = np.frombuffer(r["hashes"], np.uint64)
             bits = np.zeros((len(hashes), 8 * width), bool)
             row = np.repeat(np.arange(len(hashes)), np.diff(offsets))
             hit = np.flatnonzero(mark)
             bits[row[hit], hit - offsets[row[hit]]] = True
             order = np.argsort(hashes)
-            out.append((r["block"], pack_sorted(hashes[order]), np.packbits(bits[order], axis=1).tobytes()))
-        return pa.table([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["block", "hashes", "extra"])
+            out.append((TEXTS, r["block"], pack_sorted(hashes[order]), np.packbits(bits[order], axis=1).tobytes()))
+        return pa.table([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["kind", "block", "hashes", "extra"])
 
     def finish(table: pa.Table, answer: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table([*[table.column(c) for c in names], *[pa.array([], k) for k in (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])), pa.binary())]], names=[*names, *SPANS])
-        given, marks = answer.column("hashes"), answer.column("extra")
-        whole, part_known, part_bits = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros((0, width), np.uint8)]
-        for i in range(answer.num_rows):
-            hashes = unpack_sorted(given[i].as_buffer())
-            if not marks[i].is_valid:
-                whole.append(hashes)
-            else:
-                part_known.append(hashes)
-                part_bits.append(np.frombuffer(marks[i].as_buffer(), np.uint8).reshape(-1, width))
-        whole = np.sort(np.concatenate(whole))
-        partial, bits = np.concatenate(part_known), np.concatenate(part_bits)
+        said: dict[int, list] = {kind: [np.zeros(0, np.uint64)] for kind in range(4)}
+        bits = [np.zeros((0, width), np.uint8)]
+        for i, kind in enumerate(answer.column("kind").to_pylist()):
+            said[kind].append(unpack_sorted(answer.column("hashes")[i].as_buffer()))
+            if kind == TEXTS:
+                bits.append(np.frombuffer(answer.column("extra")[i].as_buffer(), np.uint8).reshape(-1, width))
+        whole, split, counted = (np.sort(np.concatenate(said[kind])) for kind in (WHOLE, SPLIT, WINDOWS))
+        partial, bits = np.concatenate(said[TEXTS]), np.concatenate(bits)
         order = np.argsort(partial)
         partial, bits = partial[order], bits[order]
         n_bytes, n_removed, spans, kept = [], [], [], []
@@ -315,6 +343,10 @@ def suffix_dedup(df: DataFrame, key: str, text: str, size: int = 400) -> DataFra
             picked = np.unpackbits(bits[at[some]], axis=1)
             row, step = np.nonzero(picked)
             start = lo[some][row] + step
+            single, _ = lookup(context, split)
+            if single.any():
+                at = _ranges(lo[single], hi[single])
+                start = np.concatenate([start, at[lookup(Rolling(part).every(size)[at], counted)[0]]])
             np.add.at(cover, start, 1)
             np.add.at(cover, start + size, -1)
             gone = np.cumsum(cover[:-1]) > 0
@@ -339,10 +371,16 @@ def suffix_dedup(df: DataFrame, key: str, text: str, size: int = 400) -> DataFra
 
     known = blocks.emit(emit_anchors, HASHES).groupBy("bucket").applyInArrow(meet_anchors, ANSWER)
     flags = blocks.answer(known, emit_contexts, HASHES + ", contexts binary, times binary").groupBy("bucket").applyInArrow(meet_contexts, ANSWER)
-    marks = blocks.answer(flags, emit_texts, MARKS).groupBy("bucket").applyInArrow(meet_texts, ANSWER)
+    marks = blocks.answer(flags, emit_marks, MARKS).groupBy("bucket").applyInArrow(meet_marks, VERDICT)
     return blocks.answer(marks, finish, T.StructType([*df.schema.fields, *fields(**SPANS).fields]))
 
 
+def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """All integers from each first to its last."""
+    size = last - first + 1
+    return np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(first) else first
+
+
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """Every document without the bytes of strings of 400 bytes that occur more than once."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
