@@ -48,18 +48,15 @@ def water_fill(sizes: Sequence[tuple[str | None, int]], weights: Sequence[int],
     return out
 
 
-def mix(df: DataFrame, source: str, size: str, hash_column: str, weights: Sequence[int] = (5, 2, 1), share: tuple[int, int] = (3, 2), cap: int = 2) -> DataFrame:
-    """``df`` with ``source_size`` (long), ``target`` (double) and ``times`` (int): how often the mix takes each row.
+def plan_mix(df: DataFrame, source: str, size: str, hash_column: str, weights: Sequence[int] = (5, 2, 1), share: tuple[int, int] = (3, 2), cap: int = 2) -> DataFrame:
+    """A row for each source: ``__source``, ``source_size``, ``target``, ``__whole`` (times that every row is taken) and
+    ``__limit`` (rows with a smaller hash are taken once more: the prefix in hash order whose sum is nearest to the rest).
 
-    ``hash_column`` holds 60-bit hashes. Every row is taken floor(target / source_size) times, and once more those whose
-    hash lies under the source's threshold: the prefix in hash order whose sum is nearest to what is left. Rows of equal
-    source and hash stand or fall together. A null source is a source; sizes must not be null; a source without any
-    words has target 0 and is taken 0 times. An empty table gives no rows.
+    ``hash_column`` holds 60-bit hashes; rows of equal source and hash stand or fall together. A null source is a source;
+    sizes must not be null; a source without any words has target 0. ``df`` is read once for each level of the refinement
+    (two or three, of narrow columns), so pass a checkpoint if its columns are costly.
     """
     spark = df.sparkSession
-    taken = {"source_size", "target", "times"} & set(df.columns)
-    if taken:
-        raise ValueError(f"column names in use: {sorted(taken)}")
     sizes = {r[0]: int(r[1]) for r in df.groupBy(F.col(source)).agg(F.sum(size)).collect()}
     targets = water_fill(list(sizes.items()), weights, share, cap)
     whole = {s: int(t // sizes[s]) if sizes[s] else 0 for s, t in targets.items()}
@@ -96,7 +93,16 @@ def mix(df: DataFrame, source: str, size: str, hash_column: str, weights: Sequen
             else:
                 open_.discard(s)
     kind = T.StructType([T.StructField("__source", df.schema[source].dataType), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("__whole", T.IntegerType()), T.StructField("__limit", T.LongType())])
-    plan = spark.createDataFrame([(s, sizes[s], targets[s], whole[s], limit[s]) for s in sizes], kind)
+    return spark.createDataFrame([(s, sizes[s], targets[s], whole[s], limit[s]) for s in sizes], kind)
+
+
+def apply_mix(df: DataFrame, plan: DataFrame, source: str, hash_column: str) -> DataFrame:
+    """``df`` with ``source_size`` (long), ``target`` (double) and ``times`` (int): how often the mix takes each row.
+
+    Columns of these names raise ValueError; an empty table gives no rows; a row is taken 0 times if its source has no words.
+    """
+    if clash := {"source_size", "target", "times"} & set(df.columns):
+        raise ValueError(f"column names in use: {sorted(clash)}")
     times = F.col("__whole") + (F.col(hash_column) < F.col("__limit")).cast("int")
     out = df.join(plan, F.col(source).eqNullSafe(F.col("__source"))).withColumn("times", F.when(F.col("source_size") > 0, times).otherwise(0))
     return out.select(*df.columns, "source_size", "target", "times")
@@ -110,7 +116,7 @@ def op5_hash_threshold_mix(spark, sf_dir: str) -> DataFrame:
     """All documents: the words that the mix takes of each, repeats counted."""
     docs = read_table(spark, sf_dir, "documents")
     rows = checkpoint(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_hash(F.col("doc_id")).alias("hash")))
-    out = mix(rows, "source", "size", "hash")
+    out = apply_mix(rows, plan_mix(rows, "source", "size", "hash"), "source", "hash")
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times", "source")
 
 

@@ -185,13 +185,14 @@ FAMILY = 64
 SPANS = {"n_bytes": "long", "n_removed": "long", "removed": T.ArrayType(fields(start="long", length="long")), "kept": "binary"}
 
 
-def suffix_dedup(df: DataFrame, key: str, text: str, size: int = 400) -> DataFrame:
+def suffix_dedup(df: DataFrame, key: str, text: str, size: int = 400, whole_characters: bool = False) -> DataFrame:
     """``df`` with ``n_bytes``, ``n_removed``, ``removed`` (maximal removed runs of bytes) and ``kept`` (binary).
 
     A byte goes if a string of ``size`` bytes that covers it also starts anywhere else, in the same text or another.
     Matches lie inside one text; all copies go, the first too; strings are judged on the input. A null text counts as
     empty; texts of fewer bytes lose nothing. ``size`` is a multiple of 8. ``key`` only deals rows to blocks: it may be
-    null or repeated. Columns of the new names raise ValueError.
+    null or repeated. ``whole_characters``: a character of several bytes goes only if all of them do, so that what is kept
+    is valid UTF-8. Columns of the new names raise ValueError.
     """
     if clash := set(SPANS) & set(df.columns):
         raise ValueError(f"column names in use: {sorted(clash)}")
@@ -350,6 +351,9 @@ def suffix_dedup(df: DataFrame, key: str, text: str, size: int = 400) -> DataFra
             np.add.at(cover, start, 1)
             np.add.at(cover, start + size, -1)
             gone = np.cumsum(cover[:-1]) > 0
+            if whole_characters and len(part):
+                head = np.flatnonzero((part & 0xC0) != 0x80)
+                gone = np.repeat(np.logical_and.reduceat(gone, head), np.diff(np.append(head, len(part))))
             total = np.concatenate([[0], np.cumsum(gone)])
             begin = gone.copy()
             begin[1:] &= ~gone[:-1]
