@@ -30,7 +30,9 @@ from .substring_dedup import WINDOW_BASE, window_hashes
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 WORDS = 5
-TILE, PIVOTS, COLUMNS = 512, 24, 4096
+TILE, PIVOTS, COLUMNS = 160, 16, 4096
+#: Sets are stored by the upper 48 bits of their hashes: two of a pair's n shingles then meet by chance n*n / 2**48 times.
+DROPPED = np.uint64(16)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +118,7 @@ def shingle_rows(df: DataFrame, text: str) -> DataFrame:
         for i in np.flatnonzero(alive).tolist():
             if ids[i] not in seen:
                 seen.add(ids[i])
-                blobs[i] = pack_sorted(hashes[first[i] : first[i + 1]])
+                blobs[i] = pack_sorted(hashes[first[i] : first[i + 1]] >> DROPPED)
         return pa.table([*[table.column(c) for c in rest], pa.array(size, pa.int64()), pa.array(ids, pa.int64(), mask=size == 0), pa.array(blobs, pa.binary())], names=[*rest, *SETS])
 
     met = blocks.emit(emit, HASHES).groupBy("bucket").applyInArrow(meet, ANSWER)
@@ -133,7 +135,7 @@ def candidate_edges(sets: DataFrame, count: int) -> DataFrame:
     def read(table: pa.Table):
         column = table.column("elements")
         parts = [unpack_sorted(column[i].as_buffer()) for i in range(len(column))]
-        return np.concatenate(parts), np.array([len(p) for p in parts])
+        return np.concatenate(parts) << DROPPED, np.array([len(p) for p in parts])
 
     def emit(table: pa.Table) -> pa.Table:
         hashes, n = np.unique(read(table)[0], return_counts=True)
@@ -247,20 +249,22 @@ def _task(table: pa.Table, cross: bool) -> pa.Table:
 
 def link_sets(sets: DataFrame, members: DataFrame) -> DataFrame:
     """Links (u, v) whose components are those of all linked pairs. ``members``: (v, label) of the candidate components."""
-    spark = sets.sparkSession
     sizes = members.groupBy(F.col("label").alias("component")).agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     placed = members.select(F.col("v").alias("set_id"), F.col("label").alias("component")).join(sizes, "component")
-    placed = checkpoint(sets.join(placed, "set_id").withColumn("tile", F.pmod(F.xxhash64("set_id"), "tiles").cast("int")))
-    spread = F.lit(8 * shuffle_partitions(spark))
+    placed = checkpoint(placed.withColumn("tile", F.pmod(F.xxhash64("set_id"), "tiles").cast("int")))
+    spread = F.lit(8 * shuffle_partitions(sets.sparkSession))
     task = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("component"), spread)).otherwise(F.xxhash64("component", "tile"))
-    columns = ["task", "component", "set_id", "elements", "lead"]
+    columns = ["task", "component", "set_id", "lead"]
     own = placed.withColumn("task", task).withColumn("lead", F.lit(False)).select(columns)
     large = placed.where("tiles > 1")
     rank = F.row_number().over(Window.partitionBy("component").orderBy(F.xxhash64("set_id", F.lit(7))))
-    pivots = large.select("component", "set_id").withColumn("rank", rank).where(F.col("rank") <= PIVOTS).select("set_id")
-    pivots = large.join(pivots, "set_id", "left_semi").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    pivots = large.withColumn("rank", rank).where(F.col("rank") <= PIVOTS).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     shown = pivots.withColumn("task", F.xxhash64("component", "tile")).withColumn("lead", F.lit(True)).select(columns)
-    links = checkpoint(own.union(shown).groupBy("task").applyInArrow(lambda t: _task(t, False), LINKS))
+
+    def work(parts: DataFrame, cross: bool) -> DataFrame:
+        return checkpoint(sets.join(parts, "set_id").groupBy("task").applyInArrow(lambda t: _task(t, cross), LINKS))
+
+    links = work(own.union(shown), False)
     if large.isEmpty():
         return links
     labels = connected_components(links)
@@ -272,7 +276,7 @@ def link_sets(sets: DataFrame, members: DataFrame) -> DataFrame:
     asked = asked.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("lead", F.lit(True))
     shown = held.join(chunks, "component").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("lead", F.lit(False))
     cross = [df.withColumn("task", F.xxhash64("component", "tile", "chunk")).select(columns) for df in (asked, shown)]
-    return links.union(checkpoint(cross[0].union(cross[1]).groupBy("task").applyInArrow(lambda t: _task(t, True), LINKS)))
+    return links.union(work(cross[0].union(cross[1]), True))
 
 
 def jaccard_components(df: DataFrame, key: str, text: str) -> DataFrame:
