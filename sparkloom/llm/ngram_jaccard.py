@@ -90,7 +90,7 @@ def shingle_rows(df: DataFrame, text: str) -> DataFrame:
 
     def emit(table: pa.Table) -> pa.Table:
         hashes, first = shingle_sets(*text_buffer(table.column(text)))
-        return to_buckets(table.column(BLOCK)[0].as_py(), np.unique(hashes[inside_cut(first)]), buckets)
+        return to_buckets(table.column(BLOCK)[0].as_py(), np.unique(mix64(hashes[inside_cut(first)])), buckets)  # mixed: cuts crowd at the low end
 
     def meet(table: pa.Table) -> pa.Table:
         hashes, block, _, _ = gathered(table)
@@ -106,9 +106,10 @@ def shingle_rows(df: DataFrame, text: str) -> DataFrame:
         size = np.diff(first)
         known, _ = told(answer)
         cut = np.flatnonzero(inside_cut(first))
-        own = np.sort(hashes[cut])
+        mixed = mix64(hashes[cut])
+        own = np.sort(mixed)
         known = np.union1d(known, own[1:][own[1:] == own[:-1]])  # also those of two rows of this block
-        shared, _ = lookup(hashes[cut], known)
+        shared, _ = lookup(mixed, known)
         row = np.repeat(np.arange(len(size)), size)
         hit = np.bincount(row[cut], weights=shared, minlength=len(size))
         total = np.concatenate([[0], np.cumsum(mix64(hashes))]).astype(np.uint64)

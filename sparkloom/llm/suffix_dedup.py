@@ -89,7 +89,7 @@ def contexts(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
     last = whole.copy()
     last[:-1] &= ~whole[1:] | (anchor[1:] != anchor[:-1])
     lo, hi = np.flatnonzero(first), np.flatnonzero(last)
-    return lo, hi, grams[anchor[lo]], rolling.some(lo, hi + size)
+    return lo, hi, mix64(grams[anchor[lo]]), rolling.some(lo, hi + size)  # minima crowd at the low end; mixed, they spread
 
 
 def sort_suffixes(symbols: np.ndarray, after: np.ndarray) -> np.ndarray:
