@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pack_sorted, shuffle_partitions, unpack_sorted
+from .common import pack_sorted, released, shuffle_partitions, unpack_sorted
 
 BLOCK = "__block"
 #: Bytes of text in a block and hashes in a bucket, about.
@@ -45,10 +45,21 @@ class Blocks:
         return max(self.parts, int(self.size * hashes_per_byte / BUCKET_HASHES))
 
     def emit(self, run: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
-        return self.rows.groupBy(BLOCK).applyInArrow(run, schema)
+        return per_group(self.rows, BLOCK, run, schema)
 
     def answer(self, answers: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema) -> DataFrame:
-        return self.rows.groupBy(BLOCK).cogroup(answers.groupBy("block")).applyInArrow(lambda left, right: run(left, right), schema)
+        return per_pair(self.rows, answers, run, schema)
+
+
+def per_group(df: DataFrame, key: str, run: Callable[[pa.Table], pa.Table], schema) -> DataFrame:
+    step = released(run)
+    return df.groupBy(key).applyInArrow(lambda table: step(table), schema)
+
+
+def per_pair(rows: DataFrame, answers: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema) -> DataFrame:
+    """Each block's rows together with its answers."""
+    step = released(run)
+    return rows.groupBy(BLOCK).cogroup(answers.groupBy("block")).applyInArrow(lambda left, right: step(left, right), schema)
 
 
 def _steps(column: Column, cuts: list[int], last: int) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,27 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release() -> None:
+    """Give freed memory back: a Python worker lives on between tasks, and what it holds counts against its executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def released(run: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """``run`` for a group of rows, followed by ``release``."""
+
+    def wrapped(*tables: pa.Table) -> pa.Table:
+        out = run(*tables)
+        del tables
+        release()
+        return out
+
+    return wrapped
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, mix64, read_table, slices, text_buffer
+from .common import SPACE, mix64, read_table, release, slices, text_buffer
 
 N = 4
 #: Bytes as the n-grams see them: A-Z lower-cased, separators as spaces, digits alike.
@@ -75,12 +75,13 @@ def count_grams(df: DataFrame, text: str, lang: str) -> DataFrame:
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
             langs = np.array(batch.column("lang").to_pylist(), object)
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, 500_000):
                 values, count = grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 rows = np.repeat(langs[a:b], count)
                 for name in sorted(set(langs[a:b])):
                     found, n = np.unique(values[rows == name], return_counts=True)
                     yield pa.RecordBatch.from_pydict({"lang": [name] * len(found), "gram": found.astype(np.int64), "n": n.astype(np.int64)})
+            release()
 
     parts = df.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null").mapInArrow(run, "lang string, gram long, n long")
     return parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -146,7 +147,7 @@ def identify(df: DataFrame, model: Model, text: str) -> DataFrame:
         for batch in batches:
             data, offsets = text_buffer(batch.column(names.index(text)))
             letter = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, 500_000):
                 if model.languages:
                     best, sure = score(model, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 else:
@@ -154,6 +155,7 @@ def identify(df: DataFrame, model: Model, text: str) -> DataFrame:
                 said = ["und" if not ok or not model.languages else model.languages[k] if k >= 0 else model.fallback for k, ok in zip(best, letter[a:b], strict=True)]
                 made = [pa.array(said, pa.string()), pa.array(np.where(letter[a:b], sure, 0.0))]
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:-1], *made], names=[*names, "lang_pred", "score"])
+            release()
 
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     return df.select(*[F.col(c) for c in names], letters.alias("__letters")).mapInArrow(run, schema)

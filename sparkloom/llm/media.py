@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fields, read_table, slices, text_buffer
+from .common import fields, read_table, release, slices, text_buffer
 
 #: Fixed values of the container format: boxes that hold boxes.
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
@@ -228,6 +228,7 @@ def store_media(df: DataFrame, column: str, given: bool = False) -> DataFrame:
                 found = list(_rows((data[offsets[i] : offsets[i + 1]].tobytes() for i in range(a, b)), given))
                 made = [pa.array([r[k] for r in found], field.type) for k, field in enumerate(arrow)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:-1], *made], names=[*rest, *arrow.names])
+            release()
 
     return df.select(*rest, F.col(column)).mapInArrow(run, schema)
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import ANSWER, BLOCK, HASHES, Blocks, answers, gathered, lookup, to_buckets, told
+from .blocks import ANSWER, BLOCK, HASHES, Blocks, answers, gathered, lookup, per_group, per_pair, to_buckets, told
 from .common import checkpoint, fields, mix64, pack_sorted, read_table, shuffle_partitions, slices, text_buffer, unpack_sorted, word_hashes, word_spans
 from .components import connected_components
 from .substring_dedup import WINDOW_BASE, window_hashes
@@ -122,7 +122,7 @@ def shingle_rows(df: DataFrame, text: str) -> DataFrame:
                 blobs[i] = pack_sorted(hashes[first[i] : first[i + 1]] >> DROPPED)
         return pa.table([*[table.column(c) for c in rest], pa.array(size, pa.int64()), pa.array(ids, pa.int64(), mask=size == 0), pa.array(blobs, pa.binary())], names=[*rest, *SETS])
 
-    met = blocks.emit(emit, HASHES).groupBy("bucket").applyInArrow(meet, ANSWER)
+    met = per_group(blocks.emit(emit, HASHES), "bucket", meet, ANSWER)
     return blocks.answer(met, finish, T.StructType([*[df.schema[c] for c in rest], *fields(**SETS).fields]))
 
 
@@ -167,8 +167,8 @@ def candidate_edges(sets: DataFrame, count: int) -> DataFrame:
         ids = table.column("set_id").to_numpy()
         return pa.table({"set_id": ids[row[kept]], "hash": hashes[kept].view(np.int64)})
 
-    met = dealt.groupBy(BLOCK).applyInArrow(emit, "bucket int, block int, hashes binary, counts binary").groupBy("bucket").applyInArrow(meet, ANSWER)
-    postings = checkpoint(dealt.groupBy(BLOCK).cogroup(met.groupBy("block")).applyInArrow(rarest, "set_id long, hash long"))
+    met = per_group(per_group(dealt, BLOCK, emit, HASHES + ", counts binary"), "bucket", meet, ANSWER)
+    postings = checkpoint(per_pair(dealt, met, rarest, "set_id long, hash long"))
     stars = postings.groupBy("hash").agg(F.min("set_id").alias("v"))
     return postings.join(stars, "hash").where("set_id != v").select(F.col("set_id").alias("u"), "v").distinct()
 
@@ -263,7 +263,7 @@ def link_sets(sets: DataFrame, members: DataFrame) -> DataFrame:
     shown = pivots.withColumn("task", F.xxhash64("component", "tile")).withColumn("lead", F.lit(True)).select(columns)
 
     def work(parts: DataFrame, cross: bool) -> DataFrame:
-        return checkpoint(sets.join(parts, "set_id").groupBy("task").applyInArrow(lambda t: _task(t, cross), LINKS))
+        return checkpoint(per_group(sets.join(parts, "set_id"), "task", lambda t: _task(t, cross), LINKS))
 
     links = work(own.union(shown), False)
     if large.isEmpty():

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, fields, read_table, shuffle_partitions, slices, text_buffer
+from .common import checkpoint, fields, read_table, release, shuffle_partitions, slices, text_buffer
 
 #: First bytes of code points from U+0280 on. Texts without them (ASCII and Latin letters, whose classes all Unicode
 #: versions agree on) may take the fast encoder.
@@ -50,9 +50,7 @@ class Encoder:
     """
 
     def __init__(self, vocabulary: bytes):
-        from tokenizers import Tokenizer
-
-        self.exact, self.fast = Tokenizer.from_buffer(vocabulary), None
+        self.vocabulary, self.exact, self.fast = vocabulary, None, None
         said = json.loads(vocabulary)
         model, split, self.special = said["model"], said.get("pre_tokenizer") or {}, [t["content"] for t in said.get("added_tokens", [])]
         plain = model.get("type") == "BPE" and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
@@ -76,8 +74,13 @@ class Encoder:
                 out[i] = self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
             else:
                 slow.append(i)
-        for i, made in zip(slow, self.exact.encode_batch([texts[i] for i in slow], add_special_tokens=False), strict=True):
-            out[i] = np.array(made.ids, "<u4").tobytes()
+        if slow:
+            if self.exact is None:
+                from tokenizers import Tokenizer
+
+                self.exact = Tokenizer.from_buffer(self.vocabulary)
+            for i, made in zip(slow, self.exact.encode_batch([texts[i] for i in slow], add_special_tokens=False), strict=True):
+                out[i] = np.array(made.ids, "<u4").tobytes()
         return out
 
 
@@ -129,6 +132,7 @@ def tokenize(df: DataFrame, text: str, vocabulary: str, capacity: int = 1024, en
                         ids.append(made[4 * cuts[k] : 4 * cuts[k + 1]])
                 given = [c.take(pa.array(row, pa.int64())) for c in batch.columns[:-1]]
                 yield pa.RecordBatch.from_arrays([*given, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())], names=[*rest, *PIECE.fieldNames()])
+            release()
 
     return df.select(*rest, F.col(text).cast("string")).mapInArrow(run, T.StructType([*[df.schema[c] for c in rest], *PIECE.fields]))
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import ANSWER, BLOCK, HASHES, Blocks, answers, gathered, lookup, text_column, to_buckets, told
+from .blocks import ANSWER, BLOCK, HASHES, Blocks, answers, gathered, lookup, per_group, text_column, to_buckets, told
 from .common import fields, mix64, read_table, slices, text_buffer, word_hashes, word_spans
 
 #: Multiplier of the rolling hash over word hashes.
@@ -136,7 +136,7 @@ def substring_dedup(df: DataFrame, key: str, text: str, size: int = 13) -> DataF
         made = [pa.array(np.concatenate(n_words), pa.int64()), pa.array(np.concatenate(n_removed), pa.int64()), pa.chunked_array(spans), text_column(kept, pa.string())]
         return pa.table([*[table.column(c) for c in names], *made], names=[*names, *SPANS.fieldNames()])
 
-    met = blocks.emit(emit, HASHES).groupBy("bucket").applyInArrow(meet, ANSWER)
+    met = per_group(blocks.emit(emit, HASHES), "bucket", meet, ANSWER)
     return blocks.answer(met, finish, T.StructType([*df.schema.fields, *SPANS.fields]))
 
 

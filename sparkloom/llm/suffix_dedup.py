@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import BLOCK, HASHES, Blocks, answers, cut_points, gathered, lookup, text_column, to_buckets, told
+from .blocks import BLOCK, HASHES, Blocks, answers, cut_points, gathered, lookup, per_group, text_column, to_buckets, told
 from .common import BYTE_BASE, fields, mix64, pack_sorted, powers, read_table, slices, text_buffer, unpack_sorted
 
 DEPTH = 8
@@ -373,9 +373,9 @@ def suffix_dedup(df: DataFrame, key: str, text: str, size: int = 400, whole_char
         made = [pa.array(np.concatenate(n_bytes), pa.int64()), pa.array(np.concatenate(n_removed), pa.int64()), pa.chunked_array(spans), text_column(kept, pa.binary())]
         return pa.table([*[table.column(c) for c in names], *made], names=[*names, *SPANS])
 
-    known = blocks.emit(emit_anchors, HASHES).groupBy("bucket").applyInArrow(meet_anchors, ANSWER)
-    flags = blocks.answer(known, emit_contexts, HASHES + ", contexts binary, times binary").groupBy("bucket").applyInArrow(meet_contexts, ANSWER)
-    marks = blocks.answer(flags, emit_marks, MARKS).groupBy("bucket").applyInArrow(meet_marks, VERDICT)
+    known = per_group(blocks.emit(emit_anchors, HASHES), "bucket", meet_anchors, ANSWER)
+    flags = per_group(blocks.answer(known, emit_contexts, HASHES + ", contexts binary, times binary"), "bucket", meet_contexts, ANSWER)
+    marks = per_group(blocks.answer(flags, emit_marks, MARKS), "bucket", meet_marks, VERDICT)
     return blocks.answer(marks, finish, T.StructType([*df.schema.fields, *fields(**SPANS).fields]))
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, read_table, slices, text_buffer, word_hashes, word_spans
+from .common import mix64, read_table, release, slices, text_buffer, word_hashes, word_spans
 
 #: Feature numbers are hashes of this many bits.
 BITS = 20
@@ -189,6 +189,7 @@ def apply_chain(df: DataFrame, chain: list[Link], text: str, categories: Sequenc
                 for link in chain:
                     earlier = np.column_stack([earlier, log_odds(link, row, feature, b - a, earlier)])
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *[pa.array(logistic(earlier[:, k])) for k in range(len(chain))]], names=[*names, *new])
+            release()
 
     return df.mapInArrow(run, schema)
 
