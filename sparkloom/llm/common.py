@@ -138,7 +138,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: in
     for i in left:  # words of more than 48 bytes
         word = data[starts[i] + step : ends[i]].astype(np.uint64) + np.uint64(1)
         weight = powers(int(mult), len(word) + 1)
-        out[i] = out[i] * weight[-1] + (word * weight[:-1][::-1]).sum(dtype=np.uint64)
+        out[i] = (int(out[i]) * int(weight[-1]) + int((word * weight[:-1][::-1]).sum(dtype=np.uint64))) & MASK
     return mix64(out)
 
 

@@ -167,14 +167,15 @@ def knapsack(lengths: np.ndarray, values: np.ndarray, capacity: int) -> np.ndarr
     return counts
 
 
-def solve(histogram: dict[int, int], capacity: int, rounds: int = 3000, cover: float = 0.9, own: float = 0.05, group: float = 20.0) -> list[Pattern]:
+def solve(histogram: dict[int, int], capacity: int, rounds: int = 3000, covers: tuple[float, ...] = (0.3, 0.6, 0.9), own: float = 0.05, group: float = 20.0) -> list[Pattern]:
     """Patterns that hold every piece of the histogram once.
 
     The dual price of a length starts at its size, which proves the area bound. Multiplicative weights keep the coverage
     even: a length's weight is exp(own * its lag + group * the lag of its sixteenth of the sizes), where lag is the share
     still uncovered, over the mean. Each round a knapsack over the priced lengths finds the best configuration, which gets
-    as many sequences (a fraction) as its scarcest length allows, up to a thousandth of all. The rounds cover the given
-    part of the demand; the counts are rounded down, and what is left is placed by best fit.
+    as many sequences (a fraction) as its scarcest length allows, up to a thousandth of all. When the rounds have covered
+    each of the given parts of the demand, the counts are rounded down and what is left is placed by best fit; of these
+    roundings the one with the fewest sequences counts.
     """
     lengths = np.array(sorted(x for x, n in histogram.items() if n > 0), np.int64)
     wanted = np.array([histogram[x] for x in lengths.tolist()], np.int64)
@@ -186,11 +187,14 @@ def solve(histogram: dict[int, int], capacity: int, rounds: int = 3000, cover: f
     kind = np.minimum((lengths - 1) * 16 // capacity, 15)
     whole = np.maximum(np.bincount(kind, weights=area, minlength=16), 1)
     share = area.sum() / capacity / 1000
-    left, found = wanted.astype(float), {}
+    left, found, made, stops = wanted.astype(float), {}, [], sorted(covers)
     for _ in range(rounds):
         live = np.flatnonzero(left > 1e-6)
         mean = float((left * lengths).sum() / area.sum())
-        if 1 - mean >= cover or len(live) < 2:
+        if 1 - mean >= stops[0]:
+            made.append(round_down(found, histogram, capacity))
+            stops.pop(0)
+        if not stops or len(live) < 2:
             break
         groups = np.bincount(kind, weights=left * lengths, minlength=16) / whole
         lag = own * (left[live] / wanted[live] - mean) + group * (groups[kind[live]] - mean)
@@ -201,8 +205,15 @@ def solve(histogram: dict[int, int], capacity: int, rounds: int = 3000, cover: f
         left[live] -= counts * times
         pattern = (tuple(lengths[live[used]].tolist()), tuple(counts[used].tolist()))
         found[pattern] = found.get(pattern, 0.0) + times
+    if stops:
+        made.append(round_down(found, histogram, capacity))
+    return min(made, key=lambda patterns: sum(p.times for p in patterns))
+
+
+def round_down(found: dict[tuple, float], histogram: dict[int, int], capacity: int) -> list[Pattern]:
+    """Whole counts of fractional configurations, and best fit for the pieces that these leave."""
     patterns = [Pattern(*pattern, int(times + 1e-6)) for pattern, times in found.items() if times + 1e-6 >= 1]
-    rest = dict(zip(lengths.tolist(), wanted.tolist(), strict=True))
+    rest = dict(histogram)
     for p in patterns:
         for x, n in zip(p.lengths, p.counts, strict=True):
             rest[x] -= n * p.times

@@ -1,0 +1,76 @@
+import hashlib
+import random
+import re
+from fractions import Fraction
+
+import pytest
+from pyspark.sql import functions as F
+
+from sparkloom.llm.mixing import OP5_SQL, apply_mix, op5_hash_threshold_mix, plan_mix, row_hash, water_fill, word_count
+
+
+def brute_targets(sizes, weights=(5, 2, 1)):
+    """Share by weight; stop who is above twice the size; share the rest again."""
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[k % 3] for k, s in enumerate(order)}
+    total, fixed = Fraction(3 * sum(sizes.values()), 2), {}
+    while True:
+        free = [s for s in order if s not in fixed]
+        left = total - sum(fixed.values())
+        shares = {s: left * weight[s] / sum(weight[t] for t in free) for s in free}
+        over = [s for s in free if shares[s] > 2 * sizes[s]]
+        if not over:
+            return fixed | shares
+        fixed |= {s: Fraction(2 * sizes[s]) for s in over}
+
+
+def test_targets():
+    rng = random.Random(4)
+    for _ in range(200):
+        sizes = {s: rng.choice([0, 3, 50, 1000, 40000]) for s in ["b", "a", None, "é", "z" * 9][: rng.randrange(1, 6)]}
+        found, wanted = water_fill(list(sizes.items()), (5, 2, 1), (3, 2), 2), brute_targets(sizes)
+        assert all(abs(found[s] - float(wanted[s])) <= 1e-6 * (1 + float(wanted[s])) for s in sizes)
+
+
+def expected(rows):
+    sizes, total = {}, {}
+    for doc, text, _, source, _ in rows:
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+        total[source] = total.get(source, 0) + n
+        sizes.setdefault(source, []).append((int(hashlib.md5(str(doc).encode()).hexdigest()[:15], 16), doc, n))
+    targets, out = brute_targets(total), {}
+    for source, members in sizes.items():
+        whole = int(targets[source] // total[source]) if total[source] else 0
+        rest, used = targets[source] - whole * total[source], 0
+        for _, doc, n in sorted(members):
+            again = used + Fraction(n, 2) <= rest and rest > 0
+            used += n
+            out[doc] = (n, (whole + again) * n)
+    return out
+
+
+def test_query_equals_brute_force_and_sql(spark, docs, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = op5_hash_threshold_mix(spark, str(tmp_path))
+    found = {r["doc_id"]: (r["size"], r["taken"]) for r in out.collect()}
+    assert found == expected([tuple(r) for r in docs.collect()])
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    said = con.sql(OP5_SQL)
+    place = [said.columns.index(c) for c in out.columns]
+    assert sorted((tuple(r[i] for i in place) for r in said.fetchall()), key=repr) == sorted((tuple(r) for r in out.collect()), key=repr)
+
+
+def test_edges(spark):
+    df = spark.createDataFrame([(1, "a", 0), (2, "a", 0), (3, None, 0)], "id long, source string, size long").withColumn("h", row_hash(F.col("id")))
+    out = apply_mix(df, plan_mix(df, "source", "size", "h"), "source", "h").collect()
+    assert {r["times"] for r in out} == {0} and {r["target"] for r in out} == {0.0}
+    assert apply_mix(df.limit(0), plan_mix(df.limit(0), "source", "size", "h"), "source", "h").count() == 0
+    same = spark.createDataFrame([(5, "a", 10)] * 6 + [(6, "b", 1)], "id long, source string, size long").selectExpr("*", "id AS h")
+    taken = apply_mix(same, plan_mix(same, "source", "size", "h"), "source", "h").collect()
+    assert len(taken) == 7 and len({r["times"] for r in taken if r["source"] == "a"}) == 1  # rows of one hash stay together
+    with pytest.raises(ValueError, match="in use"):
+        apply_mix(same.selectExpr("*", "1 AS times"), plan_mix(same, "source", "size", "h"), "source", "h")
+    texts = spark.createDataFrame([("a b c\x0bd",), (None,), ("",)], "t string")
+    assert [r[0] for r in texts.select(word_count(texts["t"])).collect()] == [3, 0, 0]
