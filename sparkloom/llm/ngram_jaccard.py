@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -258,8 +258,8 @@ def link_sets(sets: DataFrame, members: DataFrame) -> DataFrame:
     columns = ["task", "component", "set_id", "lead"]
     own = placed.withColumn("task", task).withColumn("lead", F.lit(False)).select(columns)
     large = placed.where("tiles > 1")
-    rank = F.row_number().over(Window.partitionBy("component").orderBy(F.xxhash64("set_id", F.lit(7))))
-    pivots = large.withColumn("rank", rank).where(F.col("rank") <= PIVOTS).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    pivots = large.where(F.col("tile") < PIVOTS).groupBy("component", "tiles", "tile").agg(F.min("set_id").alias("set_id"))
+    pivots = pivots.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     shown = pivots.withColumn("task", F.xxhash64("component", "tile")).withColumn("lead", F.lit(True)).select(columns)
 
     def work(parts: DataFrame, cross: bool) -> DataFrame:
