@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import col, lit
-from ..operators import aggregate, distinct_groups, group, select, where
+from ..operators import AggregateFunction, aggregate, custom_aggregate, distinct_groups, group, select, where
 from ..sources import table
 from .registry import query
 
@@ -87,3 +87,27 @@ def agg_of_agg(spark, sf_dir):
 @query("SELECT c_nationkey, count(*) AS customers FROM customer GROUP BY c_nationkey HAVING count(*) > 55")
 def agg_having(spark, sf_dir):
     return where(group(table(spark, sf_dir, "customer"), ["c_nationkey"], F.count("*").alias("customers")), col("customers") > 55)
+
+
+class Spread(AggregateFunction):
+    """Greatest minus least value; null where there is none."""
+
+    result_type = "int"
+
+    def initialize(self):
+        return None
+
+    def update(self, state, value):
+        return state if value is None else self.merge(state, (value, value))
+
+    def merge(self, left, right):
+        return right if left is None else left if right is None else (min(left[0], right[0]), max(left[1], right[1]))
+
+    def finalize(self, state):
+        return None if state is None else state[1] - state[0]
+
+
+@query("SELECT nullif(p_brand, 'Brand#11') AS brand, max(nullif(p_size, 10)) - min(nullif(p_size, 10)) AS spread FROM part GROUP BY nullif(p_brand, 'Brand#11')")
+def agg_custom_function(spark, sf_dir):
+    parts = select(table(spark, sf_dir, "part"), F.nullif("p_brand", lit("Brand#11")).alias("brand"), F.nullif("p_size", lit(10)).alias("size"))
+    return custom_aggregate(parts, ["brand"], "size", Spread(), "spread")

@@ -1,10 +1,11 @@
 """Sources and sinks: what is written must be what is read."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators import aggregate, checkpoint, group, select, where
 from ..session import scratch_path
-from ..sources import from_rows, read_csv, read_parquet, table, write_csv, write_parquet
+from ..sources import from_rows, read_csv, read_custom, read_parquet, table, write_csv, write_parquet
 from .registry import query
 
 PEOPLE = [
@@ -128,3 +129,31 @@ def checkpoint_then_aggregate(spark, sf_dir):
 @query("SELECT count(*) AS orders, min(o_orderdate) AS first_day, max(o_orderdate) AS last_day FROM orders")
 def scan_timestamps(spark, sf_dir):
     return aggregate(table(spark, sf_dir, "orders"), F.count("*").alias("orders"), F.min("o_orderdate").alias("first_day"), F.max("o_orderdate").alias("last_day"))
+
+
+class Squares(DataSource):
+    """Numbers below ``limit`` and their squares, in four partitions."""
+
+    @classmethod
+    def name(cls):
+        return "sparkloom_squares"
+
+    def schema(self):
+        return "n long, square long"
+
+    def reader(self, schema):
+        limit = int(self.options.get("limit", "10"))
+
+        class Reader(DataSourceReader):
+            def partitions(self):
+                return [InputPartition(k) for k in range(4)]
+
+            def read(self, partition):
+                return ((n, n * n) for n in range(partition.value, limit, 4))
+
+        return Reader()
+
+
+@query("SELECT range AS n, range * range AS square FROM range(100) WHERE range % 3 = 0")
+def scan_custom_source(spark, sf_dir):
+    return where(read_custom(spark, Squares, limit=100), F.col("n") % 3 == 0)

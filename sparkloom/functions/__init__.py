@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 col, lit = F.col, F.lit
 count, sum, avg, min, max = F.count, F.sum, F.avg, F.min, F.max  # noqa: A001
+udf, pandas_udf = F.udf, F.pandas_udf
 
-__all__ = ["avg", "col", "concat", "count", "divide", "lit", "max", "min", "null_safe_eq", "null_safe_ne", "sum"]
+__all__ = ["avg", "col", "concat", "count", "divide", "lit", "max", "min", "null_safe_eq", "null_safe_ne", "pandas_udf", "sum", "udf"]
 
 
 def null_safe_eq(left: Column, right: Column) -> Column:

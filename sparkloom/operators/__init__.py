@@ -2,6 +2,7 @@
 
 from .aggregate import aggregate, distinct_groups, group
 from .checkpoint import checkpoint
+from .custom_aggregate import AggregateFunction, custom_aggregate
 from .join import join
 from .metrics import QueryMetrics, StageMetrics, measured
 from .partition import repartition, repartition_by_hash, repartition_by_range
@@ -10,10 +11,12 @@ from .sort import head, sort, sort_keys
 from .statistics import table_statistics
 
 __all__ = [
+    "AggregateFunction",
     "QueryMetrics",
     "StageMetrics",
     "aggregate",
     "checkpoint",
+    "custom_aggregate",
     "distinct_groups",
     "group",
     "head",

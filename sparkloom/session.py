@@ -15,7 +15,8 @@ class SessionOptions:
     """What a caller may choose; everything else is Spark's own default.
 
     ``task_retries`` counts attempts after the first. ``broadcast_limit_mb`` is the largest side that joins may broadcast
-    without being told to. ``extra`` holds any further Spark settings.
+    without being told to. ``event_log`` is an existing folder for Spark's log of sessions, stages, tasks and retries. ``extra`` holds
+    any further Spark settings.
     """
 
     master: str = "local[4]"
@@ -26,6 +27,7 @@ class SessionOptions:
     broadcast_limit_mb: int = 10
     shuffle_compression: bool = True
     predicate_pushdown: bool = True
+    event_log: str | None = None
     extra: dict[str, str] = field(default_factory=dict)
 
     def settings(self) -> dict[str, str]:
@@ -41,6 +43,7 @@ class SessionOptions:
             "spark.sql.adaptive.enabled": "true",
             "spark.sql.ansi.enabled": "true",
             "spark.sql.session.timeZone": "UTC",
+            **({"spark.eventLog.enabled": "true", "spark.eventLog.dir": self.event_log} if self.event_log else {}),
             **self.extra,
         }
 

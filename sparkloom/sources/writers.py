@@ -18,6 +18,11 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
+def show(df: DataFrame, n: int = 20) -> str:
+    """The first ``n`` rows as a text table; no more than these are computed where the plan allows it."""
+    return df._show_string(n, truncate=False, vertical=False)
+
+
 def collect(df: DataFrame) -> list[dict[str, Any]]:
     """All rows as dictionaries, in partition order. For results of a known small size."""
     return [row.asDict() for row in df.collect()]

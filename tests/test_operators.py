@@ -198,3 +198,40 @@ def test_streaming_counts(spark, tmp_path):
     run = stream.writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     run.awaitTermination(60)
     assert rows(spark.table("counts")) == rows(batch) and batch.count() == 4
+
+
+def test_custom_aggregate(spark):
+    class Longest(ops.AggregateFunction):
+        result_type = "string"
+
+        def initialize(self):
+            return ""
+
+        def update(self, state, value):
+            return self.merge(state, value or "")
+
+        def merge(self, left, right):
+            return max(left, right, key=lambda x: (len(x), x))
+
+        def finalize(self, state):
+            return state or None
+
+    data = [(k % 3 if k % 7 else None, "x" * (k % 11) + str(k)) for k in range(200)] + [(9, None)]
+    found = rows(ops.custom_aggregate(spark.createDataFrame(data, "k int, s string").repartition(6), ["k"], "s", Longest(), "longest"))
+    wanted = {}
+    for k, s in data:
+        wanted[k] = max(wanted.get(k, ""), s or "", key=lambda x: (len(x), x))
+    assert found == sorted(((k, v or None) for k, v in wanted.items()), key=repr)
+    with pytest.raises(ValueError):
+        ops.custom_aggregate(spark.range(1), [], "id", Longest(), "x")
+
+
+def test_show(people):
+    text = sources.show(ops.sort(people, "name"), 2)
+    assert "alice" in text and "bob" in text and "carol" not in text
+
+
+def test_udfs(people):
+    from sparkloom.functions import udf
+
+    assert ("ALICE",) in rows(people.select(udf(lambda s: s.upper(), "string")("name")))
