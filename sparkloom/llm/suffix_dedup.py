@@ -98,16 +98,18 @@ def sort_suffixes(symbols: np.ndarray, after: np.ndarray) -> np.ndarray:
     Doubling: after round r rows are ranked by 2**r symbols; equal ones keep their place.
     """
     n = len(symbols)
-    rank, ahead = symbols.astype(np.int64) + 1, after
+    rank, ahead = np.append(np.unique(symbols, return_inverse=True)[1] + 1, 0), np.append(after, n)
     for _ in range(DEPTH.bit_length()):
-        wide = np.append(rank, 0)
-        order = np.lexsort((wide[ahead], rank))
-        new = np.ones(n, np.int64)
-        new[1:] = (rank[order][1:] != rank[order][:-1]) | (wide[ahead][order][1:] != wide[ahead][order][:-1])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        ahead = np.append(ahead, n)[ahead]
-    return np.argsort(rank, kind="stable")
+        pair = rank[:n] * (n + 2) + rank[ahead[:n]]
+        order = np.argsort(pair)  # ties are one rank, whatever their order
+        rank[order] = np.cumsum(np.append(1, pair[order][1:] != pair[order][:-1]))
+        ahead = ahead[ahead]
+    return stable_order(rank[:n])
+
+
+def stable_order(values: np.ndarray) -> np.ndarray:
+    """Stable order of integers from 0 to 2**31: a plain sort of value and place in one number."""
+    return (np.sort((values.astype(np.uint64) << np.uint64(32)) | np.arange(len(values), dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def shard_transform(symbols: np.ndarray, after: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +134,7 @@ def merge_transforms(transforms: list[np.ndarray], chains: list[int], depth: int
         symbol = np.empty(len(merged), joined.dtype)
         symbol[np.argsort(merged, kind="stable")] = joined  # each shard's rows keep their order
         inner = np.flatnonzero(symbol >= 0)
-        order = inner[np.argsort(symbol[inner], kind="stable")]
+        order = inner[stable_order(symbol[inner])]
         new = np.ones(len(order), np.int64)
         new[1:] = (symbol[order][1:] != symbol[order][:-1]) | (block[order][1:] != block[order][:-1])
         block = np.concatenate([np.zeros(len(heads), np.int64), np.cumsum(new)])
