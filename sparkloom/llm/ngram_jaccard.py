@@ -271,7 +271,9 @@ def link_sets(sets: DataFrame, members: DataFrame) -> DataFrame:
     labels = connected_components(links)
     held = checkpoint(large.join(labels.select(F.col("v").alias("set_id"), "label"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id")))
     main = held.groupBy("component", "label").count().groupBy("component").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-    apart = held.join(main, "component").where("label != main").drop("main", "label")
+    apart = checkpoint(held.join(main, "component").where("label != main").drop("main", "label").coalesce(max(1, shuffle_partitions(sets.sparkSession) // 8)))
+    if apart.isEmpty():
+        return links
     chunks = apart.groupBy("component").agg(F.ceil(F.count("*") / 128).cast("int").alias("chunks"))
     asked = apart.join(chunks, "component").withColumn("chunk", F.pmod(F.xxhash64("set_id", F.lit(3)), "chunks").cast("int"))
     asked = asked.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("lead", F.lit(True))
@@ -306,4 +308,17 @@ def jaccard_components(df: DataFrame, key: str, text: str) -> DataFrame:
 def op6_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     """Every document with its set's size and its component."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return jaccard_components(docs, "doc_id", "text").select("doc_id", "n_shingles", "component_id", "set_id")
+    return jaccard_components(docs, "doc_id", "text").select("doc_id", "n_shingles", "component_id")
+
+
+#: The same in SQL: overlaps of all pairs with a common shingle, then everything that links reach.
+OP6_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * shared >= 80 * (x.size + y.size - shared)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT d.doc_id, coalesce(n.size, 0) AS n_shingles, c.component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) c USING (doc_id)
+"""

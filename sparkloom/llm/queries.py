@@ -7,10 +7,10 @@ from .hilbert_sharding import op2_hilbert_sharding
 from .language_id import op10_language_id
 from .media import op4_iso_media
 from .mixing import OP5_SQL, op5_hash_threshold_mix
-from .ngram_jaccard import op6_ngram_jaccard
+from .ngram_jaccard import OP6_SQL, op6_ngram_jaccard
 from .packing import op7_config_lp_packing
-from .substring_dedup import op9_rabin_karp_dedup
-from .suffix_dedup import op8_suffix_dedup
+from .substring_dedup import OP9_SQL, op9_rabin_karp_dedup
+from .suffix_dedup import OP8_SQL, op8_suffix_dedup
 from .toxicity import op3_toxicity_chain
 
 QUERIES = {
@@ -28,4 +28,4 @@ QUERIES = {
         op10_language_id,
     )
 }
-ORACLE_SQL = {"op5_hash_threshold_mix": OP5_SQL}
+ORACLE_SQL = {"op5_hash_threshold_mix": OP5_SQL, "op6_ngram_jaccard": OP6_SQL, "op8_suffix_dedup": OP8_SQL, "op9_rabin_karp_dedup": OP9_SQL}

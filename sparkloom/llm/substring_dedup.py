@@ -151,3 +151,17 @@ def op9_rabin_karp_dedup(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = substring_dedup(docs, "doc_id", "text")
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.size("removed").cast("long").alias("n_spans"))
+
+
+#: The same in SQL, windows as texts.
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+m AS (SELECT k, min(doc_id) AS least FROM s GROUP BY k),
+c AS (SELECT DISTINCT doc_id, i + j AS p FROM (SELECT s.doc_id, s.i, unnest(range(0, 13)) AS j FROM s JOIN m ON s.k = m.k WHERE m.least < s.doc_id)),
+o AS (SELECT doc_id, w[p] AS word, p FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d)),
+r AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM o ANTI JOIN c USING (doc_id, p) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE (doc_id, p - 1) NOT IN (SELECT (doc_id, p) FROM c)) AS n_spans FROM c GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n.n_removed, 0) AS n_removed, sha256(coalesce(r.kept, '')) AS kept_sha256, coalesce(n.n_spans, 0) AS n_spans
+FROM d LEFT JOIN r USING (doc_id) LEFT JOIN n USING (doc_id)
+"""

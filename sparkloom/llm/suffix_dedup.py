@@ -392,3 +392,19 @@ def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = suffix_dedup(docs, "doc_id", "text")
     return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The same in SQL: bytes as hexadecimal text, windows by their MD5.
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+s AS MATERIALIZED (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 399)) AS i FROM d WHERE n >= 400)),
+x AS (SELECT doc_id, i FROM s SEMI JOIN (SELECT k FROM s GROUP BY k HAVING count(*) > 1) m USING (k)),
+y AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS fresh FROM x),
+z AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM y),
+r AS (SELECT doc_id, run, min(i) AS a, max(i) + 400 AS b FROM z GROUP BY doc_id, run),
+p AS (SELECT doc_id, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS lo, a AS hi FROM r
+      UNION ALL SELECT d.doc_id, coalesce(max(r.b), 0), any_value(d.n) FROM d LEFT JOIN r USING (doc_id) GROUP BY d.doc_id),
+k AS (SELECT p.doc_id, string_agg(substr(d.h, 2 * lo + 1, 2 * (hi - lo)), '' ORDER BY lo) AS kept FROM p JOIN d USING (doc_id) GROUP BY p.doc_id)
+SELECT d.doc_id, d.n::BIGINT AS n_bytes, (d.n - length(k.kept) / 2)::BIGINT AS n_removed, coalesce(c.n_spans, 0) AS n_spans, sha256(unhex(k.kept)) AS kept_sha256
+FROM d JOIN k USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n_spans FROM r GROUP BY doc_id) c USING (doc_id)
+"""
