@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, mix64, read_table
+from .common import checkpoint, mix64, read_table, shuffle_partitions
 
 
 @dataclass(frozen=True)
@@ -207,12 +207,12 @@ def search_shards(index: DataFrame, queries: DataFrame, key: str, vector: str, k
     rows counts once for each distinct vector and its best k rows are given.
     """
     good = queries.where(usable(vector) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("vector"))
-    rows, shards = good.count(), [r[0] for r in index.select("shard").collect()]
+    rows, shards = good.count(), (index.agg(F.max("shard")).first()[0] or 0) + 1
     blocks = max(1, -(-rows // params.block))
     packed = good.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
     packed = packed.groupBy("block").agg(F.collect_list(F.struct("query_id", "vector")).alias("queries"))  # params.block rows
-    pairs = packed.select("block", "queries", F.explode(F.array(*[F.lit(s) for s in shards]) if shards else F.array().cast("array<int>")).alias("shard"))
-    work = pairs.join(index, "shard").repartition(max(1, blocks * len(shards)), "block", "shard")
+    pairs = packed.select("block", "queries", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    work = pairs.join(index, "shard").repartition(min(blocks * shards, 8 * shuffle_partitions(index.sparkSession)), "block", "shard")
 
     def run(batches):
         for batch in batches:
