@@ -4,15 +4,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lit
-from ..operators import group, head, select, sort
+from ..operators import checkpoint, group, head, select, sort
 from ..sources import table
 from .registry import query
 
 
 def ranked(df: DataFrame, *columns: str, ascending=True) -> DataFrame:
     """The sorted rows with their place. The place comes from each sorted partition's row numbers and the rows before it,
-    so that no single task sees all rows."""
-    placed = sort(df, *columns, ascending=ascending).withColumn("__at", F.monotonically_increasing_id())
+    so that no single task sees all rows. The numbered rows are written first: read twice from a plan, they might be cut into
+    other partitions the second time."""
+    placed = checkpoint(sort(df, *columns, ascending=ascending).withColumn("__at", F.monotonically_increasing_id()))
     part = F.shiftright("__at", 33)
     counts = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
     before = counts.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), lit(0)).alias("__before"))
