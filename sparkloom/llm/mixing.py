@@ -5,8 +5,7 @@ bucket, and only that bucket is summed again by the next bits of the hash, until
 document. The rows are then filtered by comparing their hash with their source's threshold: nothing is sorted, and a
 smaller budget always takes a subset of what a larger one takes.
 
-Memory: the driver holds one number for each source (a mix states a weight for each, so they are few next to rows) and,
-while a level is refined, one boundary for each source. Sums are taken by (source, bucket) with partial aggregation,
+Memory: the driver holds a few numbers for each source (a mix states a weight for each, so they are few next to rows). Sums are taken by (source, bucket) with partial aggregation,
 so a source with a third of all rows costs no more than any other.
 """
 
@@ -14,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,33 +63,25 @@ def plan_mix(df: DataFrame, source: str, size: str, hash_column: str, weights: S
     limit = {s: 0 for s in sizes}  # rows with a hash below it are taken once more
     below = {s: 0 for s in sizes}  # words of the rows below it
     open_ = {s for s in sizes if rest[s] > 0 and sizes[s]}
-    kind = T.StructType([T.StructField("__source", df.schema[source].dataType), T.StructField("__prefix", T.LongType())])
+    kind = T.StructType([T.StructField("__source", df.schema[source].dataType), T.StructField("__prefix", T.LongType()), T.StructField("__room", T.DoubleType())])
     for level in range(0, BITS, STEP):
         if not open_:
             break
         shift = BITS - level - STEP
-        state = spark.createDataFrame([(s, limit[s] >> (shift + STEP)) for s in open_], kind)
+        state = spark.createDataFrame([(s, limit[s] >> (shift + STEP), float(rest[s] - below[s])) for s in open_], kind)
         rows = df.select(F.col(source).alias("__s"), F.shiftright(hash_column, shift).alias("__bucket"), F.col(size).alias("__size"))
         inside = F.col("__s").eqNullSafe(F.col("__source")) & (F.shiftright("__bucket", STEP) == F.col("__prefix"))
-        sums = rows.join(state, inside).groupBy("__s", "__bucket").agg(F.sum("__size").alias("__sum"), F.count("*").alias("__rows"))
-        found: dict = {s: [] for s in open_}
-        for s, bucket, total, n in sums.collect():  # 2**STEP buckets a source at most
-            found[s].append((bucket, total, n))
-        for s in list(open_):
-            for bucket, total, n in sorted(found[s]):
-                if below[s] + total <= rest[s]:
+        sums = rows.join(state, inside).groupBy("__s", "__bucket", "__room").agg(F.sum("__size").alias("__sum"), F.count("*").alias("__rows"))
+        reach = F.sum("__sum").over(Window.partitionBy("__s").orderBy("__bucket"))  # 2**STEP buckets a source at most
+        over = sums.withColumn("__reach", reach).where(F.col("__reach") > F.col("__room"))
+        edge = F.min_by(F.struct("__bucket", "__sum", "__rows", "__reach"), "__bucket")
+        for s, (bucket, total, n, reached) in over.groupBy("__s").agg(edge).collect():  # a row a source
+            below[s] += reached - total
+            limit[s] = bucket << shift
+            if n == 1 or shift == 0:  # one document, or documents of one hash: take it if that comes nearer
+                if below[s] + total / 2 <= rest[s]:
                     below[s] += total
                     limit[s] = (bucket + 1) << shift
-                    continue
-                if n == 1 or shift == 0:  # one document, or documents of one hash: take it if that comes nearer
-                    if below[s] + total / 2 <= rest[s]:
-                        below[s] += total
-                        limit[s] = (bucket + 1) << shift
-                    open_.discard(s)
-                else:
-                    limit[s] = bucket << shift
-                break
-            else:
                 open_.discard(s)
     kind = T.StructType([T.StructField("__source", df.schema[source].dataType), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("__whole", T.IntegerType()), T.StructField("__limit", T.LongType())])
     return spark.createDataFrame([(s, sizes[s], targets[s], whole[s], limit[s]) for s in sizes], kind)
