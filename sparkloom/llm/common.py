@@ -9,6 +9,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MASK = (1 << 64) - 1
@@ -36,6 +37,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a few numbers each that a join may send to every executor: some tens of megabytes.
+BROADCAST_ROWS = 500_000
+
+
+def small_side(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast if its counted rows are within the bound; a side of more rows is left to be shuffled."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def release() -> None:
     """Give freed memory back: a Python worker lives on between tasks, and what it holds counts against its executor."""
     pa.default_memory_pool().release_unused()

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, read_table
+from .common import checkpoint, read_table, small_side
 
 #: What separates words: [^\x20\x09-\x0D]+ matches one.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -71,7 +71,7 @@ def plan_mix(df: DataFrame, source: str, size: str, hash_column: str, weights: S
         state = spark.createDataFrame([(s, limit[s] >> (shift + STEP), float(rest[s] - below[s])) for s in open_], kind)
         rows = df.select(F.col(source).alias("__s"), F.shiftright(hash_column, shift).alias("__bucket"), F.col(size).alias("__size"))
         inside = F.col("__s").eqNullSafe(F.col("__source")) & (F.shiftright("__bucket", STEP) == F.col("__prefix"))
-        sums = rows.join(state, inside).groupBy("__s", "__bucket", "__room").agg(F.sum("__size").alias("__sum"), F.count("*").alias("__rows"))
+        sums = rows.join(small_side(state, len(open_)), inside).groupBy("__s", "__bucket", "__room").agg(F.sum("__size").alias("__sum"), F.count("*").alias("__rows"))
         reach = F.sum("__sum").over(Window.partitionBy("__s").orderBy("__bucket"))  # 2**STEP buckets a source at most
         over = sums.withColumn("__reach", reach).where(F.col("__reach") > F.col("__room"))
         edge = F.min_by(F.struct("__bucket", "__sum", "__rows", "__reach"), "__bucket")
@@ -84,7 +84,7 @@ def plan_mix(df: DataFrame, source: str, size: str, hash_column: str, weights: S
                     limit[s] = (bucket + 1) << shift
                 open_.discard(s)
     kind = T.StructType([T.StructField("__source", df.schema[source].dataType), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("__whole", T.IntegerType()), T.StructField("__limit", T.LongType())])
-    return spark.createDataFrame([(s, sizes[s], targets[s], whole[s], limit[s]) for s in sizes], kind)
+    return small_side(spark.createDataFrame([(s, sizes[s], targets[s], whole[s], limit[s]) for s in sizes], kind), len(sizes))
 
 
 def apply_mix(df: DataFrame, plan: DataFrame, source: str, hash_column: str) -> DataFrame:
