@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import checkpoint, read_table, shared_folder
+from sparkloom.llm.common import checkpoint, read_table, shared_folder, small_side
 from sparkloom.llm.language_id import held_out, identify, learn
 from sparkloom.llm.mixing import apply_mix, plan_mix, row_hash, word_count
 from sparkloom.llm.ngram_jaccard import jaccard_components
@@ -36,8 +36,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     grouped = found.where("set_id is not null and component_id is not null")
     lead = grouped.where("doc_id = component_id").groupBy("component_id").agg(F.min("__text_hash").alias("__lead"))
     gone = grouped.join(lead, "component_id").where(~(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("__text_hash") == F.col("__lead"))))
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("__text_hash").alias("__hash")).distinct()
-    kept = named.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left_anti")
+    gone = checkpoint(gone.select(F.col("doc_id").alias("__id"), F.col("__text_hash").alias("__hash")).distinct())
+    kept = named.join(small_side(gone, gone.count()), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left_anti")
     repeated = grouped.groupBy("doc_id", "__text_hash").count().where("doc_id is not null and count > 1")
     if not repeated.isEmpty():  # the very same row several times
         whole = kept.join(repeated.select("doc_id", "__text_hash"), ["doc_id", "__text_hash"], "left_anti").select(kept.columns)
