@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 from collections.abc import Callable
 
@@ -67,6 +68,13 @@ def released(run: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
     return wrapped
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the files of shuffles that nothing refers to any more. It does so when the driver collects garbage,
+    which may be long after a checkpoint has taken the place of a large shuffle."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

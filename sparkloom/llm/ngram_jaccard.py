@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import ANSWER, BLOCK, HASHES, Blocks, answers, gathered, lookup, per_group, per_pair, to_buckets, told
-from .common import checkpoint, fields, mix64, pack_sorted, read_table, shuffle_partitions, slices, text_buffer, unpack_sorted, word_hashes, word_spans
+from .common import checkpoint, fields, forget_shuffles, mix64, pack_sorted, read_table, shuffle_partitions, slices, text_buffer, unpack_sorted, word_hashes, word_spans
 from .components import connected_components
 from .substring_dedup import WINDOW_BASE, window_hashes
 
@@ -294,9 +294,11 @@ def jaccard_components(df: DataFrame, key: str, text: str) -> DataFrame:
     if clash := ({*SETS, "component_id"} & set(df.columns)):
         raise ValueError(f"column names in use: {sorted(clash)}")
     rows = checkpoint(shingle_rows(df.select(key, text, *others), text))
+    forget_shuffles(df.sparkSession)  # the texts
     sets = checkpoint(rows.where("elements is not null").groupBy("set_id").agg(F.first("elements").alias("elements")))
-    edges = candidate_edges(sets, sets.count())
-    labels = checkpoint(connected_components(link_sets(sets, connected_components(edges))))
+    edges = connected_components(candidate_edges(sets, sets.count()))
+    forget_shuffles(df.sparkSession)  # the sets' hashes
+    labels = checkpoint(connected_components(link_sets(sets, edges)))
     least = rows.where("set_id is not null").groupBy("set_id").agg(F.min(key).alias("least"))
     held = least.join(labels.withColumnRenamed("v", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     roots = held.groupBy("label").agg(F.min("least").alias("component_id"))
