@@ -296,9 +296,9 @@ def jaccard_components(df: DataFrame, key: str, text: str) -> DataFrame:
     rows = checkpoint(shingle_rows(df.select(key, text, *others), text))
     forget_shuffles(df.sparkSession)  # the texts
     sets = checkpoint(rows.where("elements is not null").groupBy("set_id").agg(F.first("elements").alias("elements")))
-    edges = connected_components(candidate_edges(sets, sets.count()))
+    candidates = connected_components(candidate_edges(sets, sets.count()))
     forget_shuffles(df.sparkSession)  # the sets' hashes
-    labels = checkpoint(connected_components(link_sets(sets, edges)))
+    labels = checkpoint(connected_components(link_sets(sets, candidates)))
     least = rows.where("set_id is not null").groupBy("set_id").agg(F.min(key).alias("least"))
     held = least.join(labels.withColumnRenamed("v", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     roots = held.groupBy("label").agg(F.min("least").alias("component_id"))
