@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 from collections.abc import Callable
 
 import numpy as np
@@ -70,9 +71,12 @@ def released(run: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
 
 def forget_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the files of shuffles that nothing refers to any more. It does so when the driver collects garbage,
-    which may be long after a checkpoint has taken the place of a large shuffle."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    which may be long after a checkpoint has taken the place of a large shuffle. Later rounds find what the finalisers of
+    earlier ones have let go."""
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
