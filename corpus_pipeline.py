@@ -27,21 +27,23 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of linked ones: the least doc_id, of several such rows the least text hash.
+    """Keep one row of each group of linked ones: the least doc_id (null last), of several such rows the least text hash.
 
-    Documents with an empty set of shingles link with nothing and stay, as do groups in which no row has a doc_id.
+    Documents with an empty set of shingles link with nothing and stay. Rows of one doc_id are one group only if links join them.
     """
     named = docs.withColumn("__text_hash", F.xxhash64("text"))
-    found = checkpoint(jaccard_components(named.select("doc_id", "text", "__text_hash"), "doc_id", "text").select("doc_id", "__text_hash", "set_id", "component_id"))
-    grouped = found.where("set_id is not null and component_id is not null")
-    lead = grouped.where("doc_id = component_id").groupBy("component_id").agg(F.min("__text_hash").alias("__lead"))
-    gone = grouped.join(lead, "component_id").where(~(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("__text_hash") == F.col("__lead"))))
+    found = jaccard_components(named.select("doc_id", "text", "__text_hash"), "doc_id", "text", label="__group")
+    grouped = checkpoint(found.select("doc_id", "__text_hash", "component_id", "__group")).where("__group is not null")
+    least = F.col("doc_id").eqNullSafe(F.col("component_id"))  # both null where no row of the group has an id
+    lead = grouped.where(least).groupBy("__group").agg(F.min("__text_hash").alias("__lead"))
+    gone = grouped.join(lead, "__group").where(~(least & (F.col("__text_hash") == F.col("__lead"))))
     gone = checkpoint(gone.select(F.col("doc_id").alias("__id"), F.col("__text_hash").alias("__hash")).distinct())
-    kept = named.join(small_side(gone, gone.count()), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left_anti")
-    repeated = grouped.groupBy("doc_id", "__text_hash").count().where("doc_id is not null and count > 1")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
+    kept = named.join(small_side(gone, gone.count()), same, "left_anti")
+    repeated = grouped.groupBy(F.col("doc_id").alias("__id"), F.col("__text_hash").alias("__hash")).count().where("count > 1")
     if not repeated.isEmpty():  # the very same row several times
-        whole = kept.join(repeated.select("doc_id", "__text_hash"), ["doc_id", "__text_hash"], "left_anti").select(kept.columns)
-        once = kept.join(repeated.select("doc_id", "__text_hash"), ["doc_id", "__text_hash"], "left_semi").dropDuplicates(["doc_id", "__text_hash"]).select(kept.columns)
+        whole = kept.join(repeated, same, "left_anti")
+        once = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "__text_hash"])
         kept = whole.union(once)
     return kept.select(docs.columns)
 

@@ -282,16 +282,18 @@ def link_sets(sets: DataFrame, members: DataFrame) -> DataFrame:
     return links.union(work(cross[0].union(cross[1]), True))
 
 
-def jaccard_components(df: DataFrame, key: str, text: str) -> DataFrame:
+def jaccard_components(df: DataFrame, key: str, text: str, label: str | None = None) -> DataFrame:
     """``df`` without its text, plus ``n_shingles``, ``set_id`` and ``component_id``: the least key that links reach.
 
     Words are [^\\x20\\x09-\\x0D]+ of the whole text with A-Z lower-cased; a set holds the distinct runs of five words, or
     the whole sequence if it is shorter. Rows link when 100 * overlap >= 80 * union. A null or empty text has an empty set,
     a null ``set_id``, links with nothing and is its own component. Rows of equal keys are told apart by their sets. A null
-    key is never the least; a component of null keys only has a null id. ``key`` is a long column.
+    key is never the least; a component of null keys only has a null id. ``key`` is a long column. Components of repeated
+    keys may have equal ids; ``label`` names a column for the component's least set_id, which no other has (null for an
+    empty set).
     """
     others = [c for c in df.columns if c not in (key, text)]
-    if clash := ({*SETS, "component_id"} & set(df.columns)):
+    if clash := ({*SETS, "component_id", *([label] if label else [])} & set(df.columns)):
         raise ValueError(f"column names in use: {sorted(clash)}")
     rows = checkpoint(shingle_rows(df.select(key, text, *others), text))
     forget_shuffles(df.sparkSession)  # the texts
@@ -302,7 +304,8 @@ def jaccard_components(df: DataFrame, key: str, text: str) -> DataFrame:
     least = rows.where("set_id is not null").groupBy("set_id").agg(F.min(key).alias("least"))
     held = least.join(labels.withColumnRenamed("v", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     roots = held.groupBy("label").agg(F.min("least").alias("component_id"))
-    found = held.join(roots, "label").select(F.col("set_id").alias("__set"), "component_id")
+    more = [F.col("label").alias(label)] if label else []
+    found = held.join(roots, "label").select(F.col("set_id").alias("__set"), "component_id", *more)
     out = rows.drop("elements").join(found, F.col("set_id") == F.col("__set"), "left").drop("__set")
     return out.withColumn("component_id", F.when(F.col("set_id").isNull(), F.col(key)).otherwise(F.col("component_id")))
 

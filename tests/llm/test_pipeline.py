@@ -59,3 +59,16 @@ def test_run_and_repeated_rows(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
     df.limit(0).write.parquet(str(tmp_path / "none/documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_groups_of_repeated_and_missing_ids(spark):
+    """A group is what links join, not what shares a least doc_id; copies without an id are reduced to one as well."""
+    one, two, three, four = (" ".join(f"{w}{k}" for k in range(30)) for w in ("north", "south", "east", "west"))
+    data = [(5, one), (5, two), (5, two + " more"), (8, two), (None, three), (None, three), (None, three + " more"), (None, four), (None, None), (None, None), (5, ""), (7, "12 34"), (7, "12 34")]
+    df = spark.createDataFrame([(i, t, "en", "a", 9) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicate_stage(spark, df, "").collect()]
+    assert kept.count((5, one)) == 1 and kept.count((None, four)) == 1
+    assert len([k for k in kept if k in [(5, two), (5, two + " more")]]) == 1 and (8, two) not in kept
+    assert len([k for k in kept if k[1] and k[1].startswith(three)]) == 1
+    assert kept.count((None, None)) == 2 and kept.count((5, "")) == 1 and kept.count((7, "12 34")) == 1
+    assert len(kept) == 8
