@@ -179,13 +179,13 @@ def build_shards(rows: DataFrame, key: str, vector: str, k: int, params: Params
     """One row of flat arrays for each shard (schema INDEX), in the checkpoint folder.
 
     Rows with an unusable vector or a null id are left out, as are vectors that have not the most frequent dimension
-    (of equally frequent ones the smaller). Repeated rows are one node with the id held once for each.
+    (of equally frequent ones the smaller). Repeated rows count once; an id with several vectors stands in a node for each.
     """
     good = rows.where(usable(vector) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
     sizes = good.groupBy(F.size("vector").alias("d")).count().orderBy(F.col("count").desc(), "d").limit(1).collect()
     dims, count = (sizes[0]["d"], sizes[0]["count"]) if sizes else (1, 0)
     shards = max(1, -(-count // params.shard_rows))
-    placed = good.where(F.size("vector") == dims).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    placed = good.where(F.size("vector") == dims).distinct().withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
 
     def run(table: pa.Table) -> pa.Table:
         flat = table.column("vector").combine_chunks()
@@ -236,7 +236,10 @@ def search_shards(index: DataFrame, queries: DataFrame, key: str, vector: str, k
                 score = np.repeat(score, ids.shape[1], axis=1)
                 hits = hits.reshape(len(wanted), -1)
                 score = np.where((hits == own[:, None]) | (hits == np.iinfo(np.int64).max), np.inf, score)
-                order = np.lexsort((hits, score))[:, :k]
+                order = np.lexsort((hits, score))
+                score, hits = np.take_along_axis(score, order, 1), np.take_along_axis(hits, order, 1)
+                score[:, 1:][(hits[:, 1:] == hits[:, :-1]) & (score[:, 1:] == score[:, :-1])] = np.inf  # an id's vectors at one distance
+                order = np.argsort(score, axis=1, kind="stable")[:, :k]
                 score, hits = np.take_along_axis(score, order, 1), np.take_along_axis(hits, order, 1)
                 who, at = np.nonzero(score < np.inf)
                 yield pa.RecordBatch.from_pydict({"query_id": own[who], "vec_id": hits[who, at], "score": score[who, at]})

@@ -49,6 +49,20 @@ def test_unusable_vectors_and_small_tables(spark):
     assert search_shards(build_shards(df, "id", "v", 3), none, "id", "v", 3).count() == 0
 
 
+@pytest.mark.parametrize("shard_rows", [16, 4096])
+def test_repeated_rows_take_no_slots(spark, shard_rows):
+    """Copies of a row, and vectors of one id at one distance, leave room for the other neighbours."""
+    near = [(500, [0.5, 0.0])] * 40 + [(501, [0.5, 0.0]), (502, [0.5, 0.0])]
+    around = [(503, [float(np.cos(a)), float(np.sin(a))]) for a in (0, np.pi / 2, np.pi, 3 * np.pi / 2)]
+    rows = [(1, [1e-9, 0.0]), *near, *around, *[(600 + i, [2.0 + i, 0.0]) for i in range(12)]]
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(4)
+    query = spark.createDataFrame([(1, [1e-9, 0.0])], df.schema)
+    params = Params(shard_rows=shard_rows)
+    out = search_shards(build_shards(df, "id", "v", 10, params), query, "id", "v", 10, params).orderBy("rank").collect()
+    wanted = sorted({(d, i) for d, i in brute(rows, rows[0], len(rows))})[:10]
+    assert [(r["score"], r["vec_id"]) for r in out] == wanted
+
+
 def test_layers_are_bounded_and_linked():
     rng = np.random.default_rng(1)
     points = np.unique(rng.normal(size=(300, 8)), axis=0)
