@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import checkpoint, read_table, shared_folder, small_side
-from sparkloom.llm.language_id import held_out, identify, learn
+from sparkloom.llm.language_id import has_letter, held_out, identify, learn
 from sparkloom.llm.mixing import apply_mix, plan_mix, row_hash, word_count
 from sparkloom.llm.ngram_jaccard import jaccard_components
 from sparkloom.llm.packing import pack_documents
@@ -21,8 +21,13 @@ from sparkloom.llm.suffix_dedup import suffix_dedup
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language: null texts and texts without a letter. ``lang`` stays as it was given."""
+    """Drop documents without a language: null texts and texts without a letter. ``lang`` stays as it was given.
+
+    Scores reject nothing: a text with letters has a language, even if no row to learn from has one.
+    """
     model = learn(docs.where(~held_out("doc_id")).select("text", "lang"), "text", "lang")
+    if not model.languages:  # identify calls everything und
+        return docs.where(has_letter("text"))
     return identify(docs, model, "text").where("lang_pred != 'und'").select(docs.columns)
 
 

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,6 +129,10 @@ def score(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarr
     return np.where(total > 0, best, -1), np.where(total > 0, left.max(axis=1) / np.where(total > 0, total, 1), 0.0)
 
 
+def has_letter(text: str) -> Column:
+    return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+
+
 def identify(df: DataFrame, model: Model, text: str) -> DataFrame:
     """``df`` with ``lang_pred`` (string) and ``score`` (double, 0 to 1).
 
@@ -157,8 +161,7 @@ def identify(df: DataFrame, model: Model, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:-1], *made], names=[*names, "lang_pred", "score"])
             release()
 
-    letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    return df.select(*[F.col(c) for c in names], letters.alias("__letters")).mapInArrow(run, schema)
+    return df.select(*[F.col(c) for c in names], has_letter(text).alias("__letters")).mapInArrow(run, schema)
 
 
 def held_out(key: str):

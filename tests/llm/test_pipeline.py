@@ -4,8 +4,10 @@ import test_mixing
 import test_ngram_jaccard
 import test_packing
 import test_suffix_dedup
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from sparkloom.llm.language_id import held_out
 
 
 def test_stages(spark, docs, tmp_path):
@@ -72,3 +74,13 @@ def test_groups_of_repeated_and_missing_ids(spark):
     assert len([k for k in kept if k[1] and k[1].startswith(three)]) == 1
     assert kept.count((None, None)) == 2 and kept.count((5, "")) == 1 and kept.count((7, "12 34")) == 1
     assert len(kept) == 8
+
+
+def test_language_stage_without_labels(spark):
+    """Where no row to learn from has a language, documents with letters stay."""
+    rows = [(1, "some words", None), (2, None, None), (3, "12 34", None), (4, "日本", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.language_stage(spark, df, "").collect()) == [1, 4]
+    out = df.where("doc_id in (1, 2)").withColumn("doc_id", F.lit(6)).withColumn("lang", F.lit("en"))  # 6 is held out
+    assert out.where(held_out("doc_id")).count() == 2
+    assert [r["text"] for r in corpus_pipeline.language_stage(spark, out, "").collect()] == ["some words"]
