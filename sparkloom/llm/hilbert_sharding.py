@@ -1,12 +1,14 @@
 """Hilbert-curve ordering: rows near each other in several metadata columns go to the same file.
 
-Each column is quantised to 2**bits cells between its least and greatest value, the cells are turned into an
-index on a Hilbert curve, the rows are sorted by it and cut into runs. A reader that filters on any of the columns
-then skips most shards by their minimum and maximum. All of it is DataFrame and SQL functions.
-
-Shuffles: one range exchange of the key columns (never of the text). The sort key ends in columns that tell rows
-apart, so a value shared by a third of all rows is cut like any other run. Ranks come from each range partition's
-row count: one row for each partition, which is all that is broadcast.
+Each column is quantised to 2**bits cells, numbers evenly between the least and greatest value and texts evenly by
+their rank among the distinct values. The cells are turned into an index on a Hilbert curve, the rows are sorted by it
+and cut into runs. A reader that filters on any of the columns then skips most shards by their minimum and maximum.
+All of it is DataFrame and SQL functions.
+
+Shuffles: one range exchange of the key columns (never of the text), and one of each text column's distinct values. The
+sort key ends in columns that tell rows apart, so a value shared by a third of all rows is cut like any other run. Ranks
+come from each range partition's row count: one row for each partition, which is broadcast. The cells of a text column's
+values are broadcast too if they are few.
 """
 
 from __future__ import annotations
@@ -17,12 +19,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, read_table, shuffle_partitions
+from .common import checkpoint, read_table, shuffle_partitions, small_side
 
 
 @dataclass(frozen=True)
 class Dimension:
-    """A metadata column. ``log`` spreads sizes by their logarithm; text counts by its first six bytes."""
+    """A metadata column. ``log`` spreads sizes by their logarithm; text counts by the rank of its whole value."""
 
     column: str
     log: bool = False
@@ -82,16 +84,33 @@ def hilbert_index(cells: Sequence[Column], bits: int) -> Column:
     return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), start, step)["h"]
 
 
-def _number(df: DataFrame, dim: Dimension) -> Column:
-    """The column as a double in the order of its values; null becomes null."""
-    if dict(df.dtypes)[dim.column] in ("string", "binary"):
-        head = F.rpad(F.hex(F.substring(F.col(dim.column).cast("binary"), 1, 6)), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
+def _number(dim: Dimension) -> Column:
+    """A numeric column as a double; null becomes null."""
     value = F.col(dim.column).cast("double")
     value = F.when(~F.isnan(value), value)
     return F.log2(F.greatest(value, F.lit(0.0)) + 1) if dim.log else value
 
 
+def _ranked(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """``df`` checkpointed in a global order, with ``__rank`` (gapless from 0) and ``__all``, the number of rows."""
+    cut = df.repartitionByRange(shuffle_partitions(df.sparkSession), *order).sortWithinPartitions(*order)
+    cut = checkpoint(cut.withColumn("__at", F.monotonically_increasing_id()))  # partition number * 2**33 + row
+    parts = cut.groupBy(F.shiftright("__at", 33).alias("__part")).agg(F.count("*").alias("__rows"))
+    before = F.sum("__rows").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    whole = F.sum("__rows").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    parts = parts.select("__part", F.coalesce(before, F.lit(0)).alias("__before"), whole.alias("__all"))  # a row a partition
+    rank = F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return cut.withColumn("__part", F.shiftright("__at", 33)).join(F.broadcast(parts), "__part").withColumn("__rank", rank)
+
+
+def _text_cells(df: DataFrame, placed: DataFrame, column: str, cell: str, bits: int) -> DataFrame:
+    """``placed`` (the rows of ``df``) with the cell of a text column: its values' ranks, cut into 2**bits even runs.
+    Up to 2**bits values have a cell each."""
+    values = _ranked(df.where(F.col(column).isNotNull()).select(F.col(column).alias("__value")).distinct(), [F.col("__value")])
+    values = values.select("__value", F.expr(f"cast((__rank * {1 << bits}) div __all as int)").alias(cell))
+    return placed.join(small_side(values, values.count()), F.col(column) == F.col("__value"), "left").drop("__value")
+
+
 def hilbert_shards(df: DataFrame, dims: Sequence[Dimension], shards: int, ties: Sequence[str], bits: int = 8) -> DataFrame:
     """``df`` with ``curve`` (long), ``shard`` (int) and ``slot`` (long, gapless from 0 in its shard).
 
@@ -104,25 +123,21 @@ def hilbert_shards(df: DataFrame, dims: Sequence[Dimension], shards: int, ties:
         raise ValueError(f"column names in use: {sorted(clash)}")
     if shards < 1:
         raise ValueError("shards must be positive")
-    spark = df.sparkSession
-    ends = df.agg(*[f(_number(df, d)).alias(f"{n}{k}") for k, d in enumerate(dims) for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    cells = []
+    texts = [dict(df.dtypes)[d.column] in ("string", "binary") for d in dims]
+    numbers = [k for k, text in enumerate(texts) if not text]
+    ends = df.agg(F.count("*"), *[f(_number(dims[k])).alias(f"{n}{k}") for k in numbers for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    placed = df
     for k, dim in enumerate(dims):
+        if texts[k]:
+            placed = _text_cells(df, placed, dim.column, f"__c{k}", bits)
+            continue
         low, high = ends[f"lo{k}"], ends[f"hi{k}"]
         wide = (high - low) if low is not None and high > low else None
-        scaled = F.floor((_number(df, dim) - F.lit(low)) * F.lit((1 << bits) / wide)) if wide else F.lit(0)
-        cells.append(F.coalesce(F.least(scaled, F.lit((1 << bits) - 1)), F.lit(0)).cast("int").alias(f"__c{k}"))
-    named = [F.col(f"__c{k}") for k in range(len(dims))]
-    placed = df.select("*", *cells).withColumn("curve", hilbert_index(named, bits)).drop(*[f"__c{k}" for k in range(len(dims))])
-    order = [F.col("curve"), *[F.col(t) for t in ties]]
-    cut = placed.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
-    cut = checkpoint(cut.withColumn("__at", F.monotonically_increasing_id()))  # partition number * 2**33 + row
-    parts = cut.groupBy(F.shiftright("__at", 33).alias("__part")).agg(F.count("*").alias("__rows"))
-    before = F.sum("__rows").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    whole = F.sum("__rows").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    parts = parts.select("__part", F.coalesce(before, F.lit(0)).alias("__before"), whole.alias("__all"))  # a row a partition
-    rank = F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
-    out = cut.withColumn("__part", F.shiftright("__at", 33)).join(F.broadcast(parts), "__part").withColumn("__rank", rank)
+        scaled = F.floor((_number(dim) - F.lit(low)) * F.lit((1 << bits) / wide)) if wide else F.lit(0)
+        placed = placed.withColumn(f"__c{k}", F.least(scaled, F.lit((1 << bits) - 1)).cast("int"))
+    named = [F.coalesce(f"__c{k}", F.lit(0)) for k in range(len(dims))]
+    placed = placed.withColumn("curve", hilbert_index(named, bits)).drop(*[f"__c{k}" for k in range(len(dims))])
+    out = _ranked(placed, [F.col("curve"), *[F.col(t) for t in ties]])
     out = out.withColumn("shard", F.expr(f"cast((__rank * {shards}) div __all as int)"))
     out = out.withColumn("slot", F.expr(f"__rank - (shard * __all + {shards - 1}) div {shards}"))
     return out.select(*df.columns, "curve", "shard", "slot")

@@ -47,3 +47,18 @@ def test_edges(spark, tmp_path):
     keyed = spark.range(50).selectExpr("id", "id % 7 AS a", "id % 5 AS b")
     write_shards(keyed, hilbert_shards(keyed, dims, 4, ["id"]), "id", str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).groupBy("shard").count().count() == 4
+
+
+def test_texts_that_begin_alike_have_cells_of_their_own(spark):
+    """Sources with a common start are told apart, so a filter on one reads its own shards and few others."""
+    rng = random.Random(5)
+    names = [f"common_crawl_{k}" for k in range(8)] + ["common_pile"]
+    rows = [(k, names[k % 9] if k % 10 else None, rng.randrange(1000)) for k in range(1800)]
+    df = spark.createDataFrame(rows, "id long, source string, n long").repartition(4)
+    out = hilbert_shards(df, [Dimension("source"), Dimension("n")], 90, ["id"]).collect()
+    assert Counter((r["id"], r["source"], r["n"]) for r in out) == Counter(rows)
+    spans = {s: {r["shard"] for r in out if r["source"] == s} for s in names}
+    assert max(len(v) for v in spans.values()) <= 30
+    many = spark.range(1000).selectExpr("id", "concat('common_crawl_', lpad(id, 6, '0')) AS source", "0 AS n")
+    cells = Counter(r["curve"] for r in hilbert_shards(many, [Dimension("source"), Dimension("n")], 10, ["id"], bits=4).collect())
+    assert len(cells) == 16 and max(cells.values()) - min(cells.values()) <= 1
