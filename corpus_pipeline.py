@@ -64,11 +64,13 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take documents by their source's target: a document stands as many times as the mix takes it."""
-    narrow = checkpoint(docs.select("source", word_count(F.col("text")).alias("__size"), row_hash(F.col("doc_id")).alias("__hash")))
-    plan = plan_mix(narrow, "source", "__size", "__hash")
-    taken = apply_mix(docs.withColumn("__hash", row_hash(F.col("doc_id"))), plan, "source", "__hash")
-    return taken.where("times > 0").withColumn("__time", F.explode(F.sequence(F.lit(1), "times"))).select(docs.columns)
+    """Take documents by their source's target: a document stands as many times as the mix takes it. Only rows of equal
+    doc_id and text stand or fall together."""
+    columns, docs = docs.columns, docs.withColumn("__hash", row_hash(F.col("doc_id"))).withColumn("__tie", F.shiftrightunsigned(F.xxhash64("text"), 4))
+    narrow = checkpoint(docs.select("source", word_count(F.col("text")).alias("__size"), "__hash", "__tie"))
+    plan = plan_mix(narrow, "source", "__size", "__hash", tie="__tie")
+    taken = apply_mix(docs, plan, "source", "__hash", tie="__tie")
+    return taken.where("times > 0").withColumn("__time", F.explode(F.sequence(F.lit(1), "times"))).select(columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,11 +47,13 @@ def water_fill(sizes: Sequence[tuple[str | None, int]], weights: Sequence[int],
     return out
 
 
-def plan_mix(df: DataFrame, source: str, size: str, hash_column: str, weights: Sequence[int] = (5, 2, 1), share: tuple[int, int] = (3, 2), cap: int = 2) -> DataFrame:
+def plan_mix(df: DataFrame, source: str, size: str, hash_column: str, weights: Sequence[int] = (5, 2, 1), share: tuple[int, int] = (3, 2), cap: int = 2, tie: str | None = None) -> DataFrame:
     """A row for each source: ``__source``, ``source_size``, ``target``, ``__whole`` (times that every row is taken) and
     ``__limit`` (rows with a smaller hash are taken once more: the prefix in hash order whose sum is nearest to the rest).
 
-    ``hash_column`` holds 60-bit hashes; rows of equal source and hash stand or fall together. A null source is a source;
+    ``hash_column`` holds 60-bit hashes; rows of equal source and hash stand or fall together. ``tie`` names a second such
+    column that orders rows of equal hash: where they are several on the boundary, ``__tie_limit`` cuts them, and only
+    rows equal in both stand or fall together. A null source is a source;
     sizes must not be null; a source without any words has target 0. ``df`` is read once for each level of the refinement
     (two or three, of narrow columns), so pass a checkpoint if its columns are costly.
     """
@@ -60,17 +62,20 @@ def plan_mix(df: DataFrame, source: str, size: str, hash_column: str, weights: S
     targets = water_fill(list(sizes.items()), weights, share, cap)
     whole = {s: int(t // sizes[s]) if sizes[s] else 0 for s, t in targets.items()}
     rest = {s: targets[s] - whole[s] * sizes[s] for s in sizes}
-    limit = {s: 0 for s in sizes}  # rows with a hash below it are taken once more
+    hashes = [hash_column, *([tie] if tie else [])]
+    limits = [{s: 0 for s in sizes} for _ in range(2)]  # rows with a hash below it are taken once more
     below = {s: 0 for s in sizes}  # words of the rows below it
     open_ = {s for s in sizes if rest[s] > 0 and sizes[s]}
-    kind = T.StructType([T.StructField("__source", df.schema[source].dataType), T.StructField("__prefix", T.LongType()), T.StructField("__room", T.DoubleType())])
-    for level in range(0, BITS, STEP):
+    kind = T.StructType([T.StructField("__source", df.schema[source].dataType), T.StructField("__edge", T.LongType()), T.StructField("__prefix", T.LongType()), T.StructField("__room", T.DoubleType())])
+    for turn, level in [(t, x) for t in range(len(hashes)) for x in range(0, BITS, STEP)]:
         if not open_:
             break
-        shift = BITS - level - STEP
-        state = spark.createDataFrame([(s, limit[s] >> (shift + STEP), float(rest[s] - below[s])) for s in open_], kind)
-        rows = df.select(F.col(source).alias("__s"), F.shiftright(hash_column, shift).alias("__bucket"), F.col(size).alias("__size"))
+        limit, shift = limits[turn], BITS - level - STEP
+        state = spark.createDataFrame([(s, limits[0][s], limit[s] >> (shift + STEP), float(rest[s] - below[s])) for s in open_], kind)
+        rows = df.select(F.col(source).alias("__s"), F.col(hash_column).alias("__first"), F.shiftright(hashes[turn], shift).alias("__bucket"), F.col(size).alias("__size"))
         inside = F.col("__s").eqNullSafe(F.col("__source")) & (F.shiftright("__bucket", STEP) == F.col("__prefix"))
+        if turn:  # only rows of the boundary's hash
+            inside &= F.col("__first") == F.col("__edge")
         sums = rows.join(small_side(state, len(open_)), inside).groupBy("__s", "__bucket", "__room").agg(F.sum("__size").alias("__sum"), F.count("*").alias("__rows"))
         reach = F.sum("__sum").over(Window.partitionBy("__s").orderBy("__bucket"))  # 2**STEP buckets a source at most
         over = sums.withColumn("__reach", reach).where(F.col("__reach") > F.col("__room"))
@@ -78,23 +83,27 @@ def plan_mix(df: DataFrame, source: str, size: str, hash_column: str, weights: S
         for s, (bucket, total, n, reached) in over.groupBy("__s").agg(edge).collect():  # a row a source
             below[s] += reached - total
             limit[s] = bucket << shift
-            if n == 1 or shift == 0:  # one document, or documents of one hash: take it if that comes nearer
+            if n == 1 or (shift == 0 and turn == len(hashes) - 1):  # one document, or documents of one hash: take it if that comes nearer
                 if below[s] + total / 2 <= rest[s]:
                     below[s] += total
                     limit[s] = (bucket + 1) << shift
                 open_.discard(s)
-    kind = T.StructType([T.StructField("__source", df.schema[source].dataType), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("__whole", T.IntegerType()), T.StructField("__limit", T.LongType())])
-    return small_side(spark.createDataFrame([(s, sizes[s], targets[s], whole[s], limit[s]) for s in sizes], kind), len(sizes))
+    kind = T.StructType([T.StructField("__source", df.schema[source].dataType), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("__whole", T.IntegerType()), T.StructField("__limit", T.LongType()), T.StructField("__tie_limit", T.LongType())])
+    return small_side(spark.createDataFrame([(s, sizes[s], targets[s], whole[s], limits[0][s], limits[1][s]) for s in sizes], kind), len(sizes))
 
 
-def apply_mix(df: DataFrame, plan: DataFrame, source: str, hash_column: str) -> DataFrame:
+def apply_mix(df: DataFrame, plan: DataFrame, source: str, hash_column: str, tie: str | None = None) -> DataFrame:
     """``df`` with ``source_size`` (long), ``target`` (double) and ``times`` (int): how often the mix takes each row.
 
     Columns of these names raise ValueError; an empty table gives no rows; a row is taken 0 times if its source has no words.
+    ``tie`` is the column that the plan was made with.
     """
     if clash := {"source_size", "target", "times"} & set(df.columns):
         raise ValueError(f"column names in use: {sorted(clash)}")
-    times = F.col("__whole") + (F.col(hash_column) < F.col("__limit")).cast("int")
+    again = F.col(hash_column) < F.col("__limit")
+    if tie:
+        again |= (F.col(hash_column) == F.col("__limit")) & (F.col(tie) < F.col("__tie_limit"))
+    times = F.col("__whole") + again.cast("int")
     out = df.join(plan, F.col(source).eqNullSafe(F.col("__source"))).withColumn("times", F.when(F.col("source_size") > 0, times).otherwise(0))
     return out.select(*df.columns, "source_size", "target", "times")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sparkloom.llm.language_id import held_out
+from sparkloom.llm.mixing import water_fill
 
 
 def test_stages(spark, docs, tmp_path):
@@ -84,3 +85,15 @@ def test_language_stage_without_labels(spark):
     out = df.where("doc_id in (1, 2)").withColumn("doc_id", F.lit(6)).withColumn("lang", F.lit("en"))  # 6 is held out
     assert out.where(held_out("doc_id")).count() == 2
     assert [r["text"] for r in corpus_pipeline.language_stage(spark, out, "").collect()] == ["some words"]
+
+
+def test_mixing_cuts_inside_a_repeated_or_missing_id(spark):
+    """Rows of one id, or of none, are taken up to the target and not all or none."""
+    rows = [(None if source == "b" else 7 if k % 3 else 1000 + k, f"{source} text{k} " + "word " * 8, "en", source) for source in ("a", "b", "c") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    out = corpus_pipeline.mixing_stage(spark, df, "")
+    assert out.columns == df.columns
+    taken = {r["source"]: r["n"] for r in out.groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()}
+    targets = water_fill([(s, 600) for s in ("a", "b", "c")], (5, 2, 1), (3, 2), 2)
+    assert targets["b"] % 600 and targets["c"] % 600
+    assert all(abs(taken[s] - targets[s]) <= 5 for s in targets)
