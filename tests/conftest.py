@@ -17,8 +17,3 @@ def spark(tmp_path_factory):
     session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     yield session
     session.stop()
-
-
-def rows(df):
-    """Rows as a sorted list of tuples, nulls in a place of their own."""
-    return sorted((tuple(r) for r in df.collect()), key=repr)
