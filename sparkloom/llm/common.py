@@ -6,7 +6,7 @@ import ctypes
 import gc
 import tempfile
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +25,23 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the one that the session names in spark.checkpoint.dir. A temporary one is set
-    only where the session has none (tests, local mode)."""
+    """The folder that all executors share: the one that the session names in spark.checkpoint.dir. Where it names none, a
+    temporary folder is set in local mode (tests); on a cluster that raises ValueError."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sparkloom-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared file system, if it is there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there."""
     shared_folder(df.sparkSession)
@@ -208,3 +217,10 @@ KINDS = {"int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(),
 def fields(**kinds: str | T.DataType) -> T.StructType:
     """A schema of nullable columns; unlike a DDL string it needs no running session."""
     return T.StructType([T.StructField(name, KINDS[kind] if isinstance(kind, str) else kind) for name, kind in kinds.items()])
+
+
+def refuse(df: DataFrame, names: Iterable[str]) -> None:
+    """Raise ValueError if ``df`` has a column of one of these names (in any case, as Spark resolves them)."""
+    own = {c.lower() for c in df.columns}
+    if clash := sorted(n for n in names if n.lower() in own):
+        raise ValueError(f"column names in use: {clash}")

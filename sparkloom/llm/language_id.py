@@ -12,7 +12,7 @@ n-gram). The driver and the broadcast hold ``top`` n-grams a language at most an
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, mix64, read_table, release, slices, text_buffer
+from .common import SPACE, checkpoint, fields, mix64, read_table, refuse, release, slices, text_buffer
 
 N = 4
 #: Bytes as the n-grams see them: A-Z lower-cased, separators as spaces, digits alike.
@@ -68,8 +68,15 @@ def positions(values: np.ndarray, size: int, hashes: int) -> Iterator[np.ndarray
         yield (mixed >> np.uint64(k * 64 // hashes)) & np.uint64(size - 1)
 
 
+#: Stands for all n-grams of a language in ``count_grams``.
+EVERY = -1
+#: Frequency classes for each doubling of a count: counts up to 45 have a class each.
+CLASSES = 32
+
+
 def count_grams(df: DataFrame, text: str, lang: str) -> DataFrame:
-    """(lang, gram, n): how often each language's rows contain each n-gram."""
+    """(lang, gram, n): how often each language's rows contain each n-gram, and under ``EVERY`` how many they have in all
+    (a language whose texts are too short has that row only)."""
 
     def run(batches):
         for batch in batches:
@@ -80,39 +87,65 @@ def count_grams(df: DataFrame, text: str, lang: str) -> DataFrame:
                 rows = np.repeat(langs[a:b], count)
                 for name in sorted(set(langs[a:b])):
                     found, n = np.unique(values[rows == name], return_counts=True)
-                    yield pa.RecordBatch.from_pydict({"lang": [name] * len(found), "gram": found.astype(np.int64), "n": n.astype(np.int64)})
+                    gram, n = np.append(found.astype(np.int64), EVERY), np.append(n, n.sum()).astype(np.int64)
+                    yield pa.RecordBatch.from_pydict({"lang": [name] * len(gram), "gram": gram, "n": n})
             release()
 
     parts = df.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null").mapInArrow(run, "lang string, gram long, n long")
     return parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def most_frequent(held: DataFrame, top: int) -> list:
+    """(lang, gram) rows: about the ``top`` most frequent n-grams of each language.
+
+    They are cut by frequency class (a 32nd of a doubling): whole classes from the greatest down, and of the class that
+    would exceed ``top`` the n-grams with the least hashes. A class is counted like any group, so no task sees all n-grams
+    of a language, and the driver holds some 2,000 numbers a language.
+    """
+    classed = held.withColumn("class", F.floor(F.log2("n") * CLASSES).cast("int"))
+    limits = []
+    sizes = classed.groupBy("lang", "class").count().collect()
+    for name in sorted({r["lang"] for r in sizes}):
+        room = top
+        for r in sorted((r for r in sizes if r["lang"] == name), key=lambda r: -r["class"]):
+            limits.append((name, r["class"], min(1.0, max(room, 0) / r["count"])))
+            room -= r["count"]
+            if room <= 0:
+                break
+    if not limits:
+        return []
+    parts = held.sparkSession.createDataFrame(limits, "lang string, class int, part double")
+    draw = F.shiftrightunsigned(F.xxhash64("gram"), 11) / F.lit(float(1 << 53))
+    return classed.join(F.broadcast(parts), ["lang", "class"]).where(draw < F.col("part")).select("lang", "gram").collect()
+
+
 def learn(df: DataFrame, text: str, lang: str, top: int = 6000, size: int = 1 << 18, hashes: int = 3, ratio: float = 0.5) -> Model:
-    """Learn from all rows with a text and a language.
+    """Learn from all rows with a text and a language, in one pass over the texts.
 
-    A language's filter takes its ``top`` most frequent n-grams whose share in the language is at least ``ratio`` of
-    their greatest share in any language. No rows: a model without languages.
+    A language's filter takes its ``top`` most frequent n-grams (see ``most_frequent``) of those whose share in the language
+    is at least ``ratio`` of their greatest share in any language. No rows: a model without languages.
     """
-    counted = count_grams(df, text, lang)
-    whole = {r[0]: r[1] for r in counted.groupBy("lang").agg(F.sum("n")).collect()}  # a row a language
-    languages = sorted({r[0] for r in df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(lang).distinct().collect()}, key=str.encode)
+    counted = checkpoint(count_grams(df, text, lang))
+    whole = {r["lang"]: r["n"] for r in counted.where(F.col("gram") == EVERY).collect()}  # a row a language
+    languages = sorted(whole, key=str.encode)
     if not languages:
         return Model([], np.zeros((size, 1), np.uint64), np.zeros(0), hashes, None)
-    share = F.col("n") / F.create_map(*[F.lit(x) for kv in whole.items() for x in kv])[F.col("lang")] if whole else F.lit(0.0)
-    held = counted.withColumn("share", share).withColumn("most", F.max("share").over(Window.partitionBy("gram"))).where(F.col("share") >= ratio * F.col("most"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram"))
-    kept = held.withColumn("rank", rank).where(F.col("rank") <= top).select("lang", "gram").collect()
+    share = F.col("n") / F.create_map(*[F.lit(x) for kv in whole.items() for x in kv])[F.col("lang")]
+    shares = counted.where(F.col("gram") != EVERY).withColumn("share", share)
+    held = shares.withColumn("most", F.max("share").over(Window.partitionBy("gram"))).where(F.col("share") >= ratio * F.col("most"))
+    kept = most_frequent(checkpoint(held.select("lang", "gram", "n")), top)
     masks = np.zeros((size, (len(languages) + 63) // 64), np.uint64)
     for k, name in enumerate(languages):
         own = np.array([r[1] for r in kept if r[0] == name], np.int64)
         for at in positions(own, size, hashes):
             masks[at, k // 64] |= np.uint64(1 << (k % 64))
     fill = np.array([np.mean((masks[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1)) for k in range(len(languages))])
-    return Model(languages, masks, fill**hashes, hashes, max(languages, key=lambda x: (whole.get(x, 0), x)))
+    return Model(languages, masks, fill**hashes, hashes, max(languages, key=lambda x: (whole[x], x)))
 
 
-def score(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row the best language's number and its share of all corrected counts; ties go to the first language."""
+def score(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row the best language's number (-1: no n-gram is known), its share of all corrected counts, and the share of
+    the row's n-grams that it knows beyond chance; ties go to the first language."""
     values, count = grams(data, offsets)
     hits = np.zeros((len(count), len(model.languages)))
     if len(values):
@@ -126,39 +159,43 @@ def score(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarr
     left = np.maximum((hits - count[:, None] * model.chance) / np.maximum(1 - model.chance, 1e-9), 0)
     best = left.argmax(axis=1)
     total = left.sum(axis=1)
-    return np.where(total > 0, best, -1), np.where(total > 0, left.max(axis=1) / np.where(total > 0, total, 1), 0.0)
+    most = left.max(axis=1)
+    return np.where(total > 0, best, -1), np.where(total > 0, most / np.where(total > 0, total, 1), 0.0), np.minimum(most / np.maximum(count, 1), 1.0)
 
 
 def has_letter(text: str) -> Column:
     return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
 
 
+NEW = fields(lang_pred="string", score="double", coverage="double")
+
+
 def identify(df: DataFrame, model: Model, text: str) -> DataFrame:
-    """``df`` with ``lang_pred`` (string) and ``score`` (double, 0 to 1).
+    """``df`` with ``lang_pred`` (string), ``score`` (double, 0 to 1: the language's share of all languages' corrected counts)
+    and ``coverage`` (double, 0 to 1: the share of the text's n-grams that the language knows beyond chance).
 
-    A null text and one without a letter are `und` with score 0, as is everything when no language was learned; a text
-    with letters but no known n-gram has the language with most training n-grams, score 0. Whole texts are read. The
-    table's other columns pass through; columns of the two names raise ValueError.
+    A null text and one without a letter are `und` with score and coverage 0, as is everything when no language was
+    learned; a text with letters but no known n-gram has the language with most training n-grams, score and coverage 0.
+    Whole texts are read. The table's other columns pass through; columns of the three names raise ValueError.
     """
-    if clash := {"lang_pred", "score"} & set(df.columns):
-        raise ValueError(f"column names in use: {sorted(clash)}")
-    held = df.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    refuse(df, NEW.fieldNames())
+    held = df.sparkSession.sparkContext.broadcast(astuple(model))  # plain values: workers need no copy of the package
+    schema = T.StructType([*df.schema.fields, *NEW.fields])
     names = df.columns
 
     def run(batches):
-        model = held.value
+        model = Model(*held.value)
         for batch in batches:
             data, offsets = text_buffer(batch.column(names.index(text)))
             letter = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)
             for a, b in slices(offsets, 500_000):
                 if model.languages:
-                    best, sure = score(model, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                    best, sure, known = score(model, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 else:
-                    best, sure = np.full(b - a, -1), np.zeros(b - a)
+                    best, sure, known = np.full(b - a, -1), np.zeros(b - a), np.zeros(b - a)
                 said = ["und" if not ok or not model.languages else model.languages[k] if k >= 0 else model.fallback for k, ok in zip(best, letter[a:b], strict=True)]
-                made = [pa.array(said, pa.string()), pa.array(np.where(letter[a:b], sure, 0.0))]
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:-1], *made], names=[*names, "lang_pred", "score"])
+                made = [pa.array(said, pa.string()), *[pa.array(np.where(letter[a:b], x, 0.0)) for x in (sure, known)]]
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:-1], *made], names=[*names, *NEW.fieldNames()])
             release()
 
     return df.select(*[F.col(c) for c in names], has_letter(text).alias("__letters")).mapInArrow(run, schema)
