@@ -4,19 +4,20 @@ The categories have an order. The first model sees a document's features only; e
 that the earlier models gave. A later model is trained on out-of-fold predictions of the earlier ones (each training row
 is scored by models that did not see it), so it meets the same kind of inputs when it is applied.
 
-Training runs on the driver on at most ``max_rows`` labelled documents, the least by a hash of their id (a documented
-bound). Applying the chain is one pass over all rows without a shuffle; the broadcast holds ``max_features`` weights a
+Training uses at most ``max_rows`` labelled documents, the least by a hash of their id (a documented bound); the fits of a
+link and of its folds are tasks beside each other. Applying the chain is one pass over all rows without a shuffle; the broadcast holds ``max_features`` weights a
 category at most.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -110,30 +111,62 @@ def log_odds(link: Link, row: np.ndarray, feature: np.ndarray, rows: int, earlie
     return np.clip(out + earlier @ link.earlier + link.bias, -20, 20)
 
 
-def fit_chain(row: np.ndarray, feature: np.ndarray, targets: np.ndarray, folds: int = 4, max_features: int = 4000) -> list[Link]:
-    """A link for each column of ``targets`` (rows x categories, 0 or 1). Row k is in fold k modulo ``folds``."""
+def subset(row: np.ndarray, feature: np.ndarray, rows: int, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The (row, feature) pairs of some rows, which are numbered anew."""
+    place = np.full(rows, -1)
+    place[part] = np.arange(len(part))
+    inside = place[row] >= 0
+    return place[row[inside]], feature[inside]
+
+
+def fit_fold(row: np.ndarray, feature: np.ndarray, target: np.ndarray, earlier: np.ndarray, fold: np.ndarray, f: int, max_features: int) -> tuple[Link | None, np.ndarray]:
+    """Fold -1: the link of all rows. Else the log-odds of the fold's rows by a link of the other rows."""
+    rows = len(target)
+    if f < 0:
+        return fit_link(row, feature, rows, target, earlier, max_features), np.zeros(0)
+    train, test = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+    if not len(train) or not len(test):
+        return None, np.zeros(len(test))
+    link = fit_link(*subset(row, feature, rows, train), len(train), target[train], earlier[train], max_features)
+    return None, log_odds(link, *subset(row, feature, rows, test), len(test), earlier[test])
+
+
+def fit_chain(row: np.ndarray, feature: np.ndarray, targets: np.ndarray, folds: int = 4, max_features: int = 4000, spark: SparkSession | None = None) -> list[Link]:
+    """A link for each column of ``targets`` (rows x categories, 0 or 1). Row k is in fold k modulo ``folds``.
+
+    With a session, the fits of one link are tasks of one job: they get the sample's features by a broadcast.
+    """
     rows, chain, earlier = len(targets), [], np.zeros((len(targets), 0))
     fold = np.arange(rows) % folds
+    have = np.bincount(feature, minlength=1 << BITS)
+    keep = have[feature] > 1  # no fit uses the others
+    row, feature = row[keep].astype(np.int32), feature[keep].astype(np.int32)
     for k in range(targets.shape[1]):
-        target = targets[:, k].astype(float)
-        chain.append(fit_link(row, feature, rows, target, earlier, max_features))
-        if k + 1 == targets.shape[1]:
-            break
-        unseen = np.zeros(rows)
-        for f in range(folds):
-            train, test = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-            if not len(train) or not len(test):
-                continue
-            for part, use in ((train, True), (test, False)):
-                place = np.full(rows, -1)
-                place[part] = np.arange(len(part))
-                inside = place[row] >= 0
-                r, x = place[row[inside]], feature[inside]
-                if use:
-                    link = fit_link(r, x, len(part), target[part], earlier[part], max_features)
-                else:
-                    unseen[part] = log_odds(link, r, x, len(part), earlier[part])
-        earlier = np.column_stack([earlier, unseen])
+        last = k + 1 == targets.shape[1]
+        work = (row, feature, targets[:, k].astype(float), earlier, fold)
+        parts = [-1, *([] if last else range(folds))]
+        if spark is None or last:
+            made = [(f, *fit_fold(*work, f, max_features)) for f in parts]
+        else:
+            held = spark.sparkContext.broadcast(work)
+
+            def run(batches, held=held):
+                for batch in batches:
+                    for f in batch.column(0).to_pylist():
+                        link, odds = fit_fold(*held.value, f - 1, max_features)
+                        yield pa.RecordBatch.from_pydict({"f": [f - 1], "blob": [pickle.dumps((link and astuple(link), odds))]})
+
+            tasks = spark.range(0, len(parts), 1, len(parts)).mapInArrow(run, "f long, blob binary")
+            said = [(r["f"], *pickle.loads(bytes(r["blob"]))) for r in tasks.collect()]  # a link, and numbers for each row
+            made = [(f, link and Link(*link), odds) for f, link, odds in said]
+            held.destroy()
+        chain.append(next(link for f, link, _ in made if f < 0))
+        if not last:
+            unseen = np.zeros(rows)
+            for f, _, odds in made:
+                if f >= 0:
+                    unseen[fold == f] = odds
+            earlier = np.column_stack([earlier, unseen])
     return chain
 
 
@@ -165,7 +198,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, key: str, text: str, categor
         return [Link(np.zeros(0, np.int64), np.zeros(0), np.zeros(k), 0.0) for k in range(len(categories))]
     features = [np.frombuffer(r[1], np.int32) for r in found]
     row = np.repeat(np.arange(len(found)), [len(x) for x in features])
-    return fit_chain(row, np.concatenate(features).astype(np.int64), np.array([[r[2 + k] > 0 for k in range(len(categories))] for r in found]))
+    return fit_chain(row, np.concatenate(features).astype(np.int64), np.array([[r[2 + k] > 0 for k in range(len(categories))] for r in found]), spark=spark)
 
 
 def apply_chain(df: DataFrame, chain: list[Link], text: str, categories: Sequence[str]) -> DataFrame:
@@ -176,11 +209,11 @@ def apply_chain(df: DataFrame, chain: list[Link], text: str, categories: Sequenc
     new = [f"p_{c}" for c in categories]
     if clash := set(new) & set(df.columns):
         raise ValueError(f"column names in use: {sorted(clash)}")
-    held, names = df.sparkSession.sparkContext.broadcast(chain), df.columns
+    held, names = df.sparkSession.sparkContext.broadcast([astuple(link) for link in chain]), df.columns  # plain values
     schema = T.StructType([*df.schema.fields, *[T.StructField(c, T.DoubleType()) for c in new]])
 
     def run(batches):
-        chain = held.value
+        chain = [Link(*link) for link in held.value]
         for batch in batches:
             data, offsets = text_buffer(batch.column(names.index(text)))
             for a, b in slices(offsets):
