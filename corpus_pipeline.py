@@ -12,69 +12,101 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import checkpoint, read_table, shared_folder, small_side
-from sparkloom.llm.language_id import has_letter, held_out, identify, learn
+from sparkloom.llm.common import checkpoint, read_table, remove_folder, shared_folder, small_side
+from sparkloom.llm.language_id import N, has_letter, held_out, identify, learn
 from sparkloom.llm.mixing import apply_mix, plan_mix, row_hash, word_count
 from sparkloom.llm.ngram_jaccard import jaccard_components
 from sparkloom.llm.packing import pack_documents
 from sparkloom.llm.suffix_dedup import suffix_dedup
 
 
+#: Share of a text's n-grams that its language must know, beyond chance. What has less is no text of a learned language.
+LANGUAGE_FLOOR = 0.1
+#: Bytes of the shortest repeated string that goes: 50 words of 4.8 bytes, separators included. A multiple of 8.
+PASSAGE_BYTES = 240
+
+
+def neutral(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` under column names that no operator uses, and the new name of each old one: whatever further columns the
+    documents have, they clash with nothing and come out as they went in."""
+    names = {c: f"column_{k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def named(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    return rows.select(*names.values()).toDF(*names)
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language: null texts and texts without a letter. ``lang`` stays as it was given.
+    """Drop what language ID rejects, and give documents without a ``lang`` the predicted one; a given lang stays.
 
-    Scores reject nothing: a text with letters has a language, even if no row to learn from has one.
+    Rejected are null texts, texts without a letter, and texts whose best language knows less than LANGUAGE_FLOOR of their
+    n-grams. A text with a letter that is too short for an n-gram says nothing against itself and stays. If no row has both
+    a text and a lang to learn from, every text with a letter stays, as it is. An empty table gives no rows.
     """
-    model = learn(docs.where(~held_out("doc_id")).select("text", "lang"), "text", "lang")
-    if not model.languages:  # identify calls everything und
-        return docs.where(has_letter("text"))
-    return identify(docs, model, "text").where("lang_pred != 'und'").select(docs.columns)
+    rows, at = neutral(docs)
+    text, lang = at["text"], at["lang"]
+    model = learn(rows.where(~held_out(at["doc_id"])).select(text, lang), text, lang)
+    if not model.languages:
+        return named(rows.where(has_letter(text)), at)
+    spoken = (F.col("coverage") >= LANGUAGE_FLOOR) | (F.octet_length(text) < N)
+    kept = identify(rows, model, text).where((F.col("lang_pred") != "und") & spoken)
+    return named(kept.withColumn(lang, F.coalesce(lang, "lang_pred")), at)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each group of linked ones: the least doc_id (null last), of several such rows the least text hash.
 
     Documents with an empty set of shingles link with nothing and stay. Rows of one doc_id are one group only if links join them.
+    An empty table gives no rows.
     """
-    named = docs.withColumn("__text_hash", F.xxhash64("text"))
-    found = jaccard_components(named.select("doc_id", "text", "__text_hash"), "doc_id", "text", label="__group")
-    grouped = checkpoint(found.select("doc_id", "__text_hash", "component_id", "__group")).where("__group is not null")
-    least = F.col("doc_id").eqNullSafe(F.col("component_id"))  # both null where no row of the group has an id
-    lead = grouped.where(least).groupBy("__group").agg(F.min("__text_hash").alias("__lead"))
-    gone = grouped.join(lead, "__group").where(~(least & (F.col("__text_hash") == F.col("__lead"))))
-    gone = checkpoint(gone.select(F.col("doc_id").alias("__id"), F.col("__text_hash").alias("__hash")).distinct())
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
-    kept = named.join(small_side(gone, gone.count()), same, "left_anti")
-    repeated = grouped.groupBy(F.col("doc_id").alias("__id"), F.col("__text_hash").alias("__hash")).count().where("count > 1")
+    rows, at = neutral(docs)
+    key, text, hashed = at["doc_id"], at["text"], "text_hash"
+    rows = rows.withColumn(hashed, F.xxhash64(text))
+    found = jaccard_components(rows.select(key, text, hashed), key, text, label="group")
+    grouped = checkpoint(found.select(key, hashed, "component_id", "group")).where("group is not null")
+    least = F.col(key).eqNullSafe(F.col("component_id"))  # both null where no row of the group has an id
+    lead = grouped.where(least).groupBy("group").agg(F.min(hashed).alias("lead"))
+    gone = grouped.join(lead, "group").where(~(least & (F.col(hashed) == F.col("lead"))))
+    gone = checkpoint(gone.select(F.col(key).alias("id"), F.col(hashed).alias("hash")).distinct())
+    same = F.col(key).eqNullSafe(F.col("id")) & (F.col(hashed) == F.col("hash"))
+    kept = rows.join(small_side(gone, gone.count()), same, "left_anti")
+    repeated = grouped.groupBy(F.col(key).alias("id"), F.col(hashed).alias("hash")).count().where("count > 1")
     if not repeated.isEmpty():  # the very same row several times
         whole = kept.join(repeated, same, "left_anti")
-        once = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "__text_hash"])
+        once = kept.join(repeated, same, "left_semi").dropDuplicates([key, hashed])
         kept = whole.union(once)
-    return kept.select(docs.columns)
+    return named(kept, at)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove every repeated string of 400 bytes, by whole characters; n_chars follows the text. Null texts stay null."""
-    out = suffix_dedup(docs, "doc_id", "text", whole_characters=True)
-    text = F.when(F.col("text").isNotNull(), F.col("kept").cast("string"))
-    out = out.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    """Remove every repeated string of PASSAGE_BYTES, by whole characters; n_chars follows the text. Null texts stay null; an
+    empty table gives no rows. A document that is a repeat from end to end stays, with an empty text."""
+    rows, at = neutral(docs)
+    text = at["text"]
+    out = suffix_dedup(rows, at["doc_id"], text, size=PASSAGE_BYTES, whole_characters=True)
+    out = out.withColumn(text, F.when(F.col(text).isNotNull(), F.col("kept").cast("string")))
+    if "n_chars" in at:
+        length = at["n_chars"]
+        out = out.withColumn(length, F.when(F.col("n_removed") > 0, F.length(text).cast(rows.schema[length].dataType)).otherwise(F.col(length)))
+    return named(out, at)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take documents by their source's target: a document stands as many times as the mix takes it. Only rows of equal
-    doc_id and text stand or fall together."""
-    columns, docs = docs.columns, docs.withColumn("__hash", row_hash(F.col("doc_id"))).withColumn("__tie", F.shiftrightunsigned(F.xxhash64("text"), 4))
-    narrow = checkpoint(docs.select("source", word_count(F.col("text")).alias("__size"), "__hash", "__tie"))
-    plan = plan_mix(narrow, "source", "__size", "__hash", tie="__tie")
-    taken = apply_mix(docs, plan, "source", "__hash", tie="__tie")
-    return taken.where("times > 0").withColumn("__time", F.explode(F.sequence(F.lit(1), "times"))).select(columns)
+    doc_id and text stand or fall together. A null source is a source, a null text has no words; an empty table gives no rows."""
+    rows, at = neutral(docs)
+    source = at["source"]
+    rows = rows.withColumn("hash", row_hash(F.col(at["doc_id"]))).withColumn("tie", F.shiftrightunsigned(F.xxhash64(at["text"]), 4))
+    narrow = checkpoint(rows.select(source, word_count(F.col(at["text"])).alias("size"), "hash", "tie"))
+    plan = plan_mix(narrow, source, "size", "hash", tie="tie")
+    taken = apply_mix(rows, plan, source, "hash", tie="tie")
+    return named(taken.where("times > 0").withColumn("time", F.explode(F.sequence(F.lit(1), "times"))), at)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document stands in sequences of 1024 tokens."""
+    """Where each piece of each document stands in sequences of 1024 tokens. A null text counts as empty; an empty table
+    gives no rows. Only doc_id and text are read."""
     return pack_documents(docs)
 
 
@@ -91,9 +123,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what lies between them is written to the shared checkpoint folder."""
+    """All stages over documents; what lies between them is written to the shared checkpoint folder, and removed once the
+    last stage, whose rows come from checkpoints of its own, has been made."""
     docs, folder = read_table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    try:
+        for name, stage in STAGES[:-1]:
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+            docs = spark.read.parquet(f"{folder}/{name}")
+        return STAGES[-1][1](spark, docs, sf_dir)
+    finally:
+        remove_folder(spark, folder)
