@@ -1,5 +1,9 @@
 """The pipeline against a version without Spark, stage by stage on each stage's own input."""
 
+import os
+import zlib
+
+import test_language_id
 import test_mixing
 import test_ngram_jaccard
 import test_packing
@@ -23,13 +27,21 @@ def test_stages(spark, docs, tmp_path):
         if name != "packing":
             assert frame.columns == columns
         if name == "language_id":
-            wanted = [r for r in rows if r[1] is not None and any(c.isalpha() for c in r[1])]
+            model = test_language_id.plain_model([(r[1], r[2]) for r in rows if zlib.crc32(str(r[0]).encode()) % 5])
+            said = [test_language_id.plain_answer(model, r[1]) for r in rows]
+            assert all(abs(known - 0.1) > 0.02 for _, _, known in said)  # none near the floor
+            gone = [r[1] for r, (_, _, known) in zip(rows, said, strict=True) if r[1] and len(r[1]) > 3 and any(c.isalpha() for c in r[1]) and known < 0.1]
+            assert gone  # the filter decides, not the letters
+            either = {r[0]: r[2] for r in found}  # of two languages that are nearly tied, the filter may name the other
+            kept = [(r, either.get(r[0]) if abs(share - 0.5) < 0.02 else lang) for r, (lang, share, known) in zip(rows, said, strict=True) if lang != "und" and (known > 0.1 or len(r[1].encode()) < 4)]
+            wanted = [(*r[:2], r[2] or lang, *r[3:]) for r, lang in kept]
+            assert {r[2] for r in wanted} <= {"en", "de"}
         elif name == "ngram_jaccard":
             keep = {(k, c) for k, _, c in test_ngram_jaccard.brute([r[:2] for r in rows])}
             wanted = [r for r in rows if (r[0], r[0]) in keep]
         elif name == "suffix_dedup":
             wanted = []
-            for r, (_, lost, spans, _) in zip(rows, test_suffix_dedup.brute([r[1].encode() for r in rows], 400), strict=True):
+            for r, (_, lost, spans, _) in zip(rows, test_suffix_dedup.brute([r[1].encode() for r in rows], corpus_pipeline.PASSAGE_BYTES), strict=True):
                 at, text, kept = 0, r[1], []
                 gone = {b for start, n in spans for b in range(start, start + n)}
                 for c in text:
@@ -97,3 +109,29 @@ def test_mixing_cuts_inside_a_repeated_or_missing_id(spark):
     targets = water_fill([(s, 600) for s in ("a", "b", "c")], (5, 2, 1), (3, 2), 2)
     assert targets["b"] % 600 and targets["c"] % 600
     assert all(abs(taken[s] - targets[s]) <= 5 for s in targets)
+
+
+def test_further_columns_of_any_name_pass_through(spark, tmp_path):
+    """Columns named like those that operators add or work with neither stop the stages nor change."""
+    names = ["score", "Lang_Pred", "kept", "times", "removed", "n_removed", "component_id", "set_id", "elements", "__block", "__at", "hash", "tie", "text_hash", "column_0", "lead", "id", "group", "size"]
+    words = " ".join(f"word{k}" for k in range(60))
+    data = [(k, words + f" end{k} and more of it" * (k % 4), "en" if k % 3 else None, "a" if k % 2 else "b", 9, *[f"{n} of {k}" for n in names]) for k in range(12)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    spark.createDataFrame(data, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    frame = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, frame, str(tmp_path))
+        assert out.columns == frame.columns and out.dtypes == frame.dtypes
+        out.write.parquet(str(tmp_path / name))
+        frame = spark.read.parquet(str(tmp_path / name))
+        rows = frame.collect()
+        assert rows and all(r[n] == f"{n} of {r['doc_id']}" for r in rows for n in names), name
+    assert corpus_pipeline.STAGES[-1][1](spark, frame, str(tmp_path)).count() > 0
+
+
+def test_run_leaves_no_folder(spark, docs, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    assert not [x for x in os.listdir(folder) if x.startswith("pipeline-")]
+    assert out.count() > 0
