@@ -1,11 +1,11 @@
 """Best-fit packing by a configuration linear program over the length histogram.
 
 Texts become token pieces of at most the capacity. The histogram of piece lengths (as many rows as the capacity, however
-large the corpus) goes to the driver, where a linear program over configurations - multisets of lengths that fit one
-sequence - is solved by multiplicative weights: each round prices the lengths by how far their coverage lags, a knapsack
-dynamic program finds the configuration of greatest price, and a whole number of sequences gets it. What the rounding
-leaves is placed by best fit on the histogram. Then every piece finds its place from its rank among the pieces of its
-length.
+large the corpus) goes to the driver. A linear program over configurations - multisets of lengths that fit one sequence -
+is solved by multiplicative weights: each round prices the lengths by how far their coverage lags, a knapsack dynamic
+program finds the configurations of greatest price, and the prices scaled by that value are a feasible dual, so their worth
+is a lower bound. The mean of the rounds is rounded down and the program of the rest solved again, several times; what is
+left then is placed by best fit. Every piece finds its place from its rank among the pieces of its length.
 
 Ranks come from a range exchange over (length, piece), so one length shared by a third of all pieces is spread over
 partitions like any other run; only a row for each (partition, length) is broadcast, at most partitions + capacity.
@@ -14,18 +14,20 @@ partitions like any other run; only a row for each (partition, length) is broadc
 from __future__ import annotations
 
 import json
+import pickle
 import sys
 import types
 import zlib
-from dataclasses import dataclass
+from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, fields, read_table, release, shuffle_partitions, slices, text_buffer
+from .common import checkpoint, fields, read_table, refuse, release, shuffle_partitions, slices, text_buffer
 
 #: First bytes of code points from U+0280 on. Texts without them (ASCII and Latin letters, whose classes all Unicode
 #: versions agree on) may take the fast encoder.
@@ -104,8 +106,7 @@ def tokenize(df: DataFrame, text: str, vocabulary: str, capacity: int = 1024, en
     into pieces of that many; the first piece may be shorter. ``vocabulary`` is a file on the driver, which broadcasts it.
     """
     rest = [c for c in df.columns if c != text]
-    if clash := set(rest) & set(PIECE.fieldNames()):
-        raise ValueError(f"column names in use: {sorted(clash)}")
+    refuse(df.select(*rest), PIECE.fieldNames())
     with open(vocabulary, "rb") as file:
         held = df.sparkSession.sparkContext.broadcast(file.read())
     end = np.array([end_id], "<u4").tobytes()
@@ -146,78 +147,178 @@ class Pattern:
     times: int
 
 
-def knapsack(lengths: np.ndarray, values: np.ndarray, capacity: int) -> np.ndarray:
-    """Counts of each length (ascending) in the multiset of greatest value that fits the capacity."""
-    best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    known = np.searchsorted(lengths, np.arange(capacity + 1), "right")
+def best_values(lengths: np.ndarray, values: np.ndarray, capacity: int) -> np.ndarray:
+    """The knapsack dynamic program: for each room from 0 to the capacity the greatest value of a multiset that fits it."""
+    best, single = np.zeros(capacity + 1), np.full(capacity + 1, -np.inf)
+    single[lengths] = values
     for room in range(int(lengths[0]), capacity + 1):
-        gain = best[room - lengths[: known[room]]] + values[: known[room]]
-        k = int(gain.argmax())
-        if gain[k] > best[room - 1]:
-            best[room], choice[room] = gain[k], k
+        best[room] = max(best[room - 1], (single[1 : room + 1] + best[room - 1 :: -1]).max())
+    return best
+
+
+def configuration(lengths: np.ndarray, values: np.ndarray, best: np.ndarray, supply: np.ndarray, capacity: int, first: int | None = None) -> dict[int, int]:
+    """{number of a length: count}: a multiset of greatest value by the table ``best`` of those that hold ``first``. While
+    supplies last it is exact; a length that runs out is replaced by the next best. Of equal ones the longest comes first."""
+    counts: dict[int, int] = {}
+    gone = supply <= 0
+    room = capacity
+    while True:
+        if first is not None:
+            k, first = first, None
         else:
-            best[room] = best[room - 1]
-    counts, room = np.zeros(len(lengths), np.int64), capacity
-    while room > 0:
-        if choice[room] < 0:
-            room -= 1
-        else:
-            counts[choice[room]] += 1
-            room -= int(lengths[choice[room]])
+            fits = int(np.searchsorted(lengths, room, "right"))
+            if not fits:
+                return counts
+            gain = np.where(gone[:fits], -np.inf, values[:fits] + best[room - lengths[:fits]])
+            k = fits - 1 - int(gain[::-1].argmax())
+            if gain[k] == -np.inf:
+                return counts
+        counts[k] = counts.get(k, 0) + 1
+        room -= int(lengths[k])
+        if counts[k] + 1 > supply[k]:
+            if not gone[k]:
+                gone = gone.copy() if len(counts) == 1 and counts[k] == 1 else gone
+                gone[k] = True
+
+
+def knapsack(lengths: np.ndarray, values: np.ndarray, capacity: int) -> np.ndarray:
+    """Counts of each length (ascending) in the multiset of greatest value that fits the capacity."""
+    counts = np.zeros(len(lengths), np.int64)
+    for k, n in configuration(lengths, values, best_values(lengths, values, capacity), np.full(len(lengths), capacity + 1), capacity).items():
+        counts[k] = n
     return counts
 
 
-def solve(histogram: dict[int, int], capacity: int, rounds: int = 3000, covers: tuple[float, ...] = (0.3, 0.6, 0.9), own: float = 0.05, group: float = 20.0) -> list[Pattern]:
-    """Patterns that hold every piece of the histogram once.
+def fractional(lengths: np.ndarray, wanted: np.ndarray, capacity: int, step: float, rounds: int = 100, near: float = 1e-3) -> tuple[dict[tuple, float], float]:
+    """A fractional solution of the configuration program, {configuration: sequences}, and a lower bound of any packing.
+
+    A length's price starts as its size, which proves the area bound. Each round the knapsack's greatest value scales the
+    prices to a feasible dual, whose value is a lower bound. Every length is asked for the best configuration that holds it;
+    those of (nearly) the greatest value share the round's sequences, as many as the bound. The price of a length that
+    they hold too often is divided, that of one that they hold too rarely multiplied, by up to e**step. The solution is the
+    mean of the rounds, without their first quarter; its configurations keep to the supplies.
+    """
+    log_price, found, bound, skip = np.log(lengths), {}, 0.0, rounds // 4
+    for turn in range(rounds):
+        price = np.exp(log_price - log_price.max())
+        best = best_values(lengths, price, capacity)
+        least = float(price @ wanted) / best[capacity]
+        bound = max(bound, least)
+        firsts = np.flatnonzero(price + best[capacity - lengths] >= best[capacity] * (1 - near))
+        chosen = [configuration(lengths, price, best, wanted, capacity, k) for k in firsts.tolist()]
+        held = np.zeros(len(lengths))
+        for counts in chosen:
+            for k, n in counts.items():
+                held[k] += n
+            if turn >= skip:
+                name = tuple(sorted(counts.items()))
+                found[name] = found.get(name, 0.0) + least / len(chosen) / (rounds - skip)
+        lag = 1 - held * (least / len(chosen)) / wanted
+        log_price += step / np.sqrt(1 + turn / 20) * np.clip(lag, -1, 1)
+    return found, bound
+
+
+def longest_first(lengths: np.ndarray, wanted: np.ndarray, capacity: int, again: int = 64) -> dict[tuple, int]:
+    """{configuration: times} for all pieces: each configuration holds the longest piece left and fills its room best."""
+    left, made = wanted.copy(), {}
+    while left.any():
+        live = np.flatnonzero(left)
+        own, some = lengths[live], left[live]
+        price = own.astype(float)
+        best = best_values(own, price, capacity)
+        for _ in range(again):  # with one table, as long as supplies last
+            last = np.flatnonzero(some)
+            if not len(last):
+                break
+            counts = configuration(own, price, best, some, capacity, int(last[-1]))
+            times = min(int(some[k] // n) for k, n in counts.items())
+            name = tuple(sorted((int(live[k]), n) for k, n in counts.items()))
+            made[name] = made.get(name, 0) + times
+            for k, n in counts.items():
+                some[k] -= n * times
+        left[live] = some
+    return made
+
+
+@dataclass(frozen=True)
+class Solution:
+    """``patterns`` hold every piece once; no packing has fewer than ``bound`` sequences; ``rounded`` is the share of the
+    tokens that rounded configurations of the linear program hold."""
+
+    patterns: list[Pattern]
+    bound: int
+    rounded: float
+
+    @property
+    def used(self) -> int:
+        return sum(p.times for p in self.patterns)
 
-    The dual price of a length starts at its size, which proves the area bound. Multiplicative weights keep the coverage
-    even: a length's weight is exp(own * its lag + group * the lag of its sixteenth of the sizes), where lag is the share
-    still uncovered, over the mean. Each round a knapsack over the priced lengths finds the best configuration, which gets
-    as many sequences (a fraction) as its scarcest length allows, up to a thousandth of all. When the rounds have covered
-    each of the given parts of the demand, the counts are rounded down and what is left is placed by best fit; of these
-    roundings the one with the fewest sequences counts.
+
+#: Sizes of the weights' steps, each of which is tried: which one rounds best depends on the histogram.
+STEPS = (0.02, 0.006, 0.002)
+
+
+def solve(histogram: dict[int, int], capacity: int, steps: Sequence[float] = STEPS, passes: int = 6) -> Solution:
+    """Pack every piece of the histogram.
+
+    The configuration program is solved, its counts are rounded down, and the program of what is left is solved again, up
+    to ``passes`` times. After each pass the rest is also packed whole, longest pieces first and by best fit; of all
+    these packings, over all ``steps``, the one with the fewest sequences counts, of equal ones the one that owes more to
+    the program. Plain best fit is among the packings, so there are never more sequences than it needs.
     """
     lengths = np.array(sorted(x for x, n in histogram.items() if n > 0), np.int64)
     wanted = np.array([histogram[x] for x in lengths.tolist()], np.int64)
     if not len(lengths):
-        return []
+        return Solution([], 0, 0.0)
     if lengths[0] < 1 or lengths[-1] > capacity:
         raise ValueError("a length lies outside 1 to the capacity")
-    area = lengths * wanted
-    kind = np.minimum((lengths - 1) * 16 // capacity, 15)
-    whole = np.maximum(np.bincount(kind, weights=area, minlength=16), 1)
-    share = area.sum() / capacity / 1000
-    left, found, made, stops = wanted.astype(float), {}, [], sorted(covers)
-    for _ in range(rounds):
-        live = np.flatnonzero(left > 1e-6)
-        mean = float((left * lengths).sum() / area.sum())
-        if 1 - mean >= stops[0]:
-            made.append(round_down(found, histogram, capacity))
-            stops.pop(0)
-        if not stops or len(live) < 2:
-            break
-        groups = np.bincount(kind, weights=left * lengths, minlength=16) / whole
-        lag = own * (left[live] / wanted[live] - mean) + group * (groups[kind[live]] - mean)
-        counts = knapsack(lengths[live], lengths[live] * np.exp(np.clip(lag, -3, 3)), capacity)
-        used = np.flatnonzero(counts)
-        counts[used] = np.minimum(counts[used], wanted[live[used]])
-        times = min(float((left[live[used]] / counts[used]).min()), share)
-        left[live] -= counts * times
-        pattern = (tuple(lengths[live[used]].tolist()), tuple(counts[used].tolist()))
-        found[pattern] = found.get(pattern, 0.0) + times
-    if stops:
-        made.append(round_down(found, histogram, capacity))
-    return min(made, key=lambda patterns: sum(p.times for p in patterns))
-
-
-def round_down(found: dict[tuple, float], histogram: dict[int, int], capacity: int) -> list[Pattern]:
-    """Whole counts of fractional configurations, and best fit for the pieces that these leave."""
-    patterns = [Pattern(*pattern, int(times + 1e-6)) for pattern, times in found.items() if times + 1e-6 >= 1]
-    rest = dict(histogram)
-    for p in patterns:
-        for x, n in zip(p.lengths, p.counts, strict=True):
-            rest[x] -= n * p.times
-    return patterns + best_fit(rest, capacity)
+    best, area = Solution(best_fit(histogram, capacity), 1, 0.0), int(lengths @ wanted)
+
+    def pattern(counts: tuple, times: int) -> Pattern:
+        return Pattern(tuple(int(lengths[k]) for k, _ in counts), tuple(n for _, n in counts), times)
+
+    for step in steps:
+        left, made = wanted.copy(), {}
+        for turn in range(passes):
+            live = np.flatnonzero(left)
+            if not len(live):
+                break
+            found, least = fractional(lengths[live], left[live], capacity, step)
+            if not turn:
+                best = replace(best, bound=max(best.bound, int(np.ceil(least - 1e-6))))
+            before = left.copy()
+            for counts, share in sorted(found.items(), key=lambda x: -x[1]):
+                at, n = live[[k for k, _ in counts]], np.array([n for _, n in counts])
+                times = int(min(np.floor(share + 1e-6), (left[at] // n).min()))
+                if times > 0:
+                    left[at] -= n * times
+                    name = tuple(zip(at.tolist(), n.tolist(), strict=True))
+                    made[name] = made.get(name, 0) + times
+            rest = np.flatnonzero(left)
+            longest = longest_first(lengths[rest], left[rest], capacity)
+            tails = [[pattern(tuple((int(rest[k]), n) for k, n in counts), times) for counts, times in longest.items()], best_fit({int(lengths[k]): int(left[k]) for k in rest}, capacity)]
+            for tail in tails:
+                packing = Solution([*[pattern(*x) for x in made.items()], *tail], best.bound, 1 - int(lengths @ left) / area)
+                best = min(best, packing, key=lambda x: (x.used, -x.rounded))
+            if (left == before).all():
+                break
+    return best
+
+
+def solve_in_tasks(spark: SparkSession, histogram: dict[int, int], capacity: int) -> Solution:
+    """``solve`` with a task for each step of the weights. A task gets the histogram and returns one packing's patterns."""
+
+    def run(batches):
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                made = solve(histogram, capacity, STEPS[k : k + 1])
+                rows = [(p.lengths, p.counts, p.times) for p in made.patterns]
+                yield pa.RecordBatch.from_pydict({"blob": [pickle.dumps((rows, made.bound, made.rounded))]})
+
+    found = spark.range(0, len(STEPS), 1, len(STEPS)).mapInArrow(run, "blob binary").collect()
+    made = [pickle.loads(bytes(r["blob"])) for r in found]
+    bound = max(b for _, b, _ in made)
+    return min((Solution([Pattern(*p) for p in rows], bound, share) for rows, _, share in made), key=lambda x: (x.used, -x.rounded))
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> list[Pattern]:
@@ -273,9 +374,11 @@ def pack(pieces: DataFrame, length: str, ties: list[str], capacity: int = 1024)
     outside 1 to the capacity raise ValueError; an empty table gives no rows. The table is sorted with all its columns,
     so keep them narrow.
     """
-    if clash := {"sequence_id", "offset"} & set(pieces.columns):
-        raise ValueError(f"column names in use: {sorted(clash)}")
-    spark, names = pieces.sparkSession, pieces.columns
+    new = fields(sequence_id="long", offset="long")
+    refuse(pieces, new.fieldNames())
+    spark, given, names = pieces.sparkSession, pieces.schema, [f"column_{k}" for k in range(len(pieces.columns))]
+    length, ties = names[pieces.columns.index(length)], [names[pieces.columns.index(t)] for t in ties]
+    pieces = pieces.toDF(*names)
     order = [F.col(length), *[F.col(t) for t in ties]]
     sorted_ = pieces.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
     ranked = checkpoint(sorted_.withColumn("__at", F.monotonically_increasing_id()))
@@ -283,7 +386,7 @@ def pack(pieces: DataFrame, length: str, ties: list[str], capacity: int = 1024)
     before = F.coalesce(F.sum("__n").over(Window.partitionBy("__length").orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     runs = checkpoint(runs.withColumn("__before", before))
     histogram = {int(r[0]): int(r[1]) for r in runs.groupBy("__length").agg(F.sum("__n")).collect()}
-    held = spark.sparkContext.broadcast(places(solve(histogram, capacity)))
+    held = spark.sparkContext.broadcast(places(solve_in_tasks(spark, histogram, capacity).patterns))
     rows = ranked.join(F.broadcast(runs), (F.shiftright("__at", 33) == F.col("__run")) & (F.col(length) == F.col("__length")))
     rows = rows.select(*names, (F.col("__before") + F.col("__at") - F.col("__first")).alias("__rank"))
 
@@ -299,10 +402,9 @@ def pack(pieces: DataFrame, length: str, ties: list[str], capacity: int = 1024)
                 inside = rank[at] - row[:, 0]
                 sequence[at] = row[:, 1] + inside // row[:, 2]
                 offset[at] = row[:, 3] + inside % row[:, 2] * x
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence), pa.array(offset)], names=[*names, *new.fieldNames()])
 
-    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, T.StructType([*pieces.schema.fields, *new.fields])).toDF(*given.names, *new.fieldNames())
 
 
 def default_vocabulary() -> str:
