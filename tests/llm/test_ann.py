@@ -82,3 +82,65 @@ def test_query(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     out = op1_hnsw(spark, str(tmp_path)).collect()
     assert {r["query_id"] for r in out} == set(range(0, 700, 100)) and len(out) == 70
+
+
+def test_routing_is_measured(spark):
+    """Vectors in clumps need few cells; vectors without structure are searched in all, and neither loses neighbours."""
+    rng = np.random.default_rng(4)
+    loose = [(k, rng.normal(size=24).tolist()) for k in range(2400)]
+    clumped = vectors(2400)
+    for rows, few in ((clumped, True), (loose, False)):
+        df = spark.createDataFrame(rows, "id long, v array<double>").repartition(4)
+        params = Params(shard_rows=200, cells=12)
+        index = build_shards(df, "id", "v", 10, params)
+        assert index.probes <= 6 if few else index.probes >= 9
+        queries = [r for r in rows if r[0] % 40 == 0]
+        out = search_shards(index, df.where("id % 40 = 0"), "id", "v", 10, params).collect()
+        hits = sum(len({i for _, i in brute(rows, q, 10)} & {r["vec_id"] for r in out if r["query_id"] == q[0]}) for q in queries)
+        assert hits >= 0.95 * 10 * len(queries)
+
+
+def test_cells_of_near_copies_are_cut(spark):
+    """A third of all rows around one point: shards stay at their size, all of the cell's are searched."""
+    rng = np.random.default_rng(5)
+    rows = vectors(1000) + [(50_000 + k, (np.full(16, 30.0) + rng.normal(size=16) * 1e-3).tolist()) for k in range(1000)]
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(4)
+    params = Params(shard_rows=150, cells=6)
+    index = build_shards(df, "id", "v", 10, params)
+    held = [len(r["ids"]) // 8 // 11 for r in index.shards.collect()]
+    assert sum(held) == 2000 and max(held) < 300
+    queries = [r for r in rows if r[0] >= 50_000][::50]
+    out = search_shards(index, df.where("id >= 50000 and id % 50 = 0"), "id", "v", 10, params).collect()
+    hits = sum(len({i for _, i in brute(rows, q, 10)} & {r["vec_id"] for r in out if r["query_id"] == q[0]}) for q in queries)
+    assert hits >= 0.95 * 10 * len(queries)
+
+
+@pytest.mark.parametrize("scale", [1e200, 1e-200, 1.0])
+def test_magnitudes(spark, scale):
+    """Squares that overflow or vanish, and points far from the origin, lose no neighbour."""
+    rng = np.random.default_rng(6)
+    away = 1e9 if scale == 1.0 else 0.0
+    rows = [(k, ((rng.normal(size=4) + away) * scale).tolist()) for k in range(300)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    out = search_shards(build_shards(df, "id", "v", 5), df, "id", "v", 5).collect()
+    wide = [(i, np.array(v, np.longdouble)) for i, v in rows]
+    hits = 0
+    for own, v in wide:
+        best = sorted((float(np.sqrt(((w - v) ** 2).sum())), i) for i, w in wide if i != own)[:5]
+        mine = sorted((r["score"], r["vec_id"]) for r in out if r["query_id"] == own)
+        assert len(mine) == 5 and all(np.isfinite(m[0]) for m in mine)
+        hits += len({i for _, i in best} & {i for _, i in mine})
+    assert hits >= 0.97 * 5 * 300
+
+
+def test_query_against_brute_force(spark, tmp_path):
+    rows = [(k, v) for k, (_, v) in enumerate(vectors(900))] + [(901, None), (902, [0.0] * 16), (1000, [1.0] * 16), (1001, [1.0] * 16)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    out = op1_hnsw(spark, str(tmp_path)).collect()
+    good = [(i, v) for i, v in rows if v is not None and any(v)]
+    hits = 0
+    for q in [r for r in good if r[0] % 100 == 0]:
+        wanted = brute(good, q, 10)
+        mine = [(r["score"], r["vec_id"]) for r in sorted((r for r in out if r["query_id"] == q[0]), key=lambda r: r["rank"])]
+        hits += len(set(mine) & set(wanted))
+    assert len(out) == 100 and hits >= 95
