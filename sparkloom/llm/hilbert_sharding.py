@@ -14,12 +14,12 @@ values are broadcast too if they are few.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, read_table, shuffle_partitions, small_side
+from .common import checkpoint, read_table, refuse, shuffle_partitions, small_side
 
 
 @dataclass(frozen=True)
@@ -117,12 +117,15 @@ def hilbert_shards(df: DataFrame, dims: Sequence[Dimension], shards: int, ties:
     Shards are runs in the order of (curve, ties, nulls first); their row counts differ by one at most. ``ties`` should
     tell rows apart; rows equal in all of them are interchangeable. A null metadata value lies in cell 0, as does a
     column with a single value. Pass the columns to keep only: all of ``df`` is sorted, so leave texts out.
-    An empty table gives no rows. Columns of these three names in ``df`` raise ValueError.
+    An empty table gives no rows. Columns of these three names in ``df`` raise ValueError; others may have any name.
     """
-    if clash := {"curve", "shard", "slot"} & set(df.columns):
-        raise ValueError(f"column names in use: {sorted(clash)}")
+    new = ["curve", "shard", "slot"]
+    refuse(df, new)
     if shards < 1:
         raise ValueError("shards must be positive")
+    given, names = df.columns, [f"column_{k}" for k in range(len(df.columns))]
+    at = dict(zip(given, names, strict=True))
+    df, dims, ties = df.toDF(*names), [replace(d, column=at[d.column]) for d in dims], [at[t] for t in ties]
     texts = [dict(df.dtypes)[d.column] in ("string", "binary") for d in dims]
     numbers = [k for k, text in enumerate(texts) if not text]
     ends = df.agg(F.count("*"), *[f(_number(dims[k])).alias(f"{n}{k}") for k in numbers for n, f in (("lo", F.min), ("hi", F.max))]).first()
@@ -140,7 +143,7 @@ def hilbert_shards(df: DataFrame, dims: Sequence[Dimension], shards: int, ties:
     out = _ranked(placed, [F.col("curve"), *[F.col(t) for t in ties]])
     out = out.withColumn("shard", F.expr(f"cast((__rank * {shards}) div __all as int)"))
     out = out.withColumn("slot", F.expr(f"__rank - (shard * __all + {shards - 1}) div {shards}"))
-    return out.select(*df.columns, "curve", "shard", "slot")
+    return out.select(*names, *new).toDF(*given, *new)
 
 
 def write_shards(df: DataFrame, assigned: DataFrame, key: str, path: str) -> None:

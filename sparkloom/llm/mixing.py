@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, read_table, small_side
+from .common import checkpoint, read_table, refuse, small_side
 
 #: What separates words: [^\x20\x09-\x0D]+ matches one.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -95,17 +95,19 @@ def plan_mix(df: DataFrame, source: str, size: str, hash_column: str, weights: S
 def apply_mix(df: DataFrame, plan: DataFrame, source: str, hash_column: str, tie: str | None = None) -> DataFrame:
     """``df`` with ``source_size`` (long), ``target`` (double) and ``times`` (int): how often the mix takes each row.
 
-    Columns of these names raise ValueError; an empty table gives no rows; a row is taken 0 times if its source has no words.
-    ``tie`` is the column that the plan was made with.
+    Columns of these names raise ValueError, others may have any name; an empty table gives no rows; a row is taken 0 times
+    if its source has no words. ``tie`` is the column that the plan was made with.
     """
-    if clash := {"source_size", "target", "times"} & set(df.columns):
-        raise ValueError(f"column names in use: {sorted(clash)}")
+    refuse(df, ["source_size", "target", "times"])
+    given, names = df.columns, [f"column_{k}" for k in range(len(df.columns))]
+    source, hash_column, tie = (c and names[given.index(c)] for c in (source, hash_column, tie))
+    df = df.toDF(*names)
     again = F.col(hash_column) < F.col("__limit")
     if tie:
         again |= (F.col(hash_column) == F.col("__limit")) & (F.col(tie) < F.col("__tie_limit"))
     times = F.col("__whole") + again.cast("int")
     out = df.join(plan, F.col(source).eqNullSafe(F.col("__source"))).withColumn("times", F.when(F.col("source_size") > 0, times).otherwise(0))
-    return out.select(*df.columns, "source_size", "target", "times")
+    return out.select(*names, "source_size", "target", "times").toDF(*given, "source_size", "target", "times")
 
 
 def word_count(column: Column) -> Column:

@@ -1,11 +1,13 @@
 import itertools
+import math
 import random
+import zlib
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm.hilbert_sharding import Dimension, hilbert_index, hilbert_shards, hilbert_table, write_shards
+from sparkloom.llm.hilbert_sharding import Dimension, hilbert_index, hilbert_shards, hilbert_table, op2_hilbert_sharding, write_shards
 
 
 @pytest.mark.parametrize(("dims", "bits"), [(2, 3), (3, 2), (4, 1)])
@@ -62,3 +64,43 @@ def test_texts_that_begin_alike_have_cells_of_their_own(spark):
     many = spark.range(1000).selectExpr("id", "concat('common_crawl_', lpad(id, 6, '0')) AS source", "0 AS n")
     cells = Counter(r["curve"] for r in hilbert_shards(many, [Dimension("source"), Dimension("n")], 10, ["id"], bits=4).collect())
     assert len(cells) == 16 and max(cells.values()) - min(cells.values()) <= 1
+
+
+def test_query_against_a_plain_version(spark, docs, tmp_path):
+    """Sizes, checksums, cells, curve, order, shards and slots of the query, made again without Spark."""
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = op2_hilbert_sharding(spark, str(tmp_path)).collect()
+    rows = docs.collect()
+
+    def text_cells(name):
+        values = sorted({r[name] for r in rows if r[name] is not None}, key=str.encode)
+        return {None: 0} | {v: (k << 8) // len(values) for k, v in enumerate(values)}
+
+    sources, langs = text_cells("source"), text_cells("lang")
+    sizes = [math.log2(r["n_chars"] + 1) for r in rows if r["n_chars"] is not None]
+    low, high = min(sizes), max(sizes)
+    table = hilbert_table(3)
+
+    def curve(r):
+        long = 0 if r["n_chars"] is None else min(255, int((math.log2(r["n_chars"] + 1) - low) * (256 / (high - low))))
+        cells, state, index = (sources[r["source"]], langs[r["lang"]], long), 0, 0
+        for bit in range(7, -1, -1):
+            entry = table[state * 8 + sum(((c >> bit) & 1) << k for k, c in enumerate(cells))]
+            state, index = entry >> 3, index * 8 + (entry & 7)
+        return index
+
+    text = lambda r: (r["text"] or "").encode()
+    order = sorted(rows, key=lambda r: (curve(r), zlib.crc32(text(r)), len(text(r)) + 16, r["doc_id"]))
+    wanted, place = [], Counter()
+    for k, r in enumerate(order):
+        shard = k * 40 // len(order)
+        wanted.append((r["doc_id"], len(text(r)) + 16, zlib.crc32(text(r)), "rows", shard, place[shard], None))
+        place[shard] += 1
+    assert sorted(tuple(r)[:7] for r in out) == sorted(wanted)
+
+
+def test_columns_of_any_name(spark):
+    df = spark.range(60).selectExpr("id", "id % 7 AS a", "id % 5 AS b", "concat('x', id) AS `__at`", "id AS `__rank`", "id AS column_0", "id AS `__c0`")
+    out = hilbert_shards(df, [Dimension("a"), Dimension("b")], 4, ["id"])
+    assert out.columns == [*df.columns, "curve", "shard", "slot"]
+    assert all(r["__at"] == f"x{r['id']}" and r["__rank"] == r["column_0"] == r["__c0"] == r["id"] for r in out.collect())
