@@ -1,10 +1,12 @@
+import math
 import os
 import random
 
 import numpy as np
 import pytest
 
-from sparkloom.llm.toxicity import apply_chain, fit_chain, fit_link, op3_toxicity_chain, train_chain
+from sparkloom.llm.common import mix64, word_hashes
+from sparkloom.llm.toxicity import BITS, apply_chain, fit_chain, fit_link, op3_toxicity_chain, train_chain
 
 CATEGORIES = ["rude", "toxic"]
 
@@ -77,3 +79,53 @@ def test_query_columns(spark, docs, tmp_path):
     spark.createDataFrame([(7, 1, 0), (14, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     out = op3_toxicity_chain(spark, str(tmp_path))
     assert out.columns == ["doc_id", "p_low_quality", "p_toxic", "low_quality", "toxic"] and out.count() == docs.count()
+
+
+def plain_score(text, chain):
+    """The chain's probabilities of one text: words one by one, sums over a set of features."""
+    said, features = (text or "").encode(), set()
+    for k, ends in enumerate((lambda w: w, lambda w: w[:4])):
+        for w in bytes(b + 32 if 65 <= b <= 90 else 32 if b < 128 and not chr(b).isalnum() else b for b in said).split():
+            features.add(feature_number(ends(w), k + 1))
+    for w in bytes(b + 32 if 65 <= b <= 90 else b for b in said).translate(bytes(32 if b in b"\t\n\v\f\r" else b for b in range(256))).split(b" "):
+        if w:
+            features.add(feature_number(w[-2:], 3))
+    odds, out = [], []
+    for link in chain:
+        weight = dict(zip(link.features.tolist(), link.weights.tolist(), strict=True))
+        total = sum(weight.get(f, 0.0) for f in features) + sum(a * b for a, b in zip(odds, link.earlier.tolist(), strict=True)) + link.bias
+        odds.append(min(20.0, max(-20.0, total)))
+        out.append(1 / (1 + math.exp(-odds[-1])))
+    return out
+
+
+def feature_number(word, kind):
+    data = np.frombuffer(word, np.uint8)
+    return int(mix64(word_hashes(data, np.array([0]), np.array([len(data)])) + np.uint64(kind))[0] >> np.uint64(64 - BITS))
+
+
+def test_query_against_plain_scores(spark, docs, tmp_path):
+    """Whole texts, null and odd ones, scored one by one by the chain that the query learns."""
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = docs.collect()
+    labels = [(r["doc_id"], int(len(r["text"] or "") % 2), int("a1" in (r["text"] or ""))) for r in rows if r["doc_id"] % 3]
+    frame = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    frame.write.parquet(str(tmp_path / "labels.parquet"))
+    low = frame.selectExpr("doc_id", "cast(quality = 0 AS int) AS low_quality", "toxic")
+    chain = train_chain(docs.select("doc_id", "text"), low, "doc_id", "text", ["low_quality", "toxic"])
+    out = {r["doc_id"]: r for r in op3_toxicity_chain(spark, str(tmp_path)).collect()}
+    assert len(out) == len(rows)
+    for r in rows:
+        found, wanted = out[r["doc_id"]], plain_score(r["text"], chain)
+        assert all(abs(x - y) < 1e-6 for x, y in zip((found["p_low_quality"], found["p_toxic"]), wanted, strict=True))
+        assert (found["low_quality"], found["toxic"]) == (found["p_low_quality"] >= 0.5, found["p_toxic"] >= 0.5)
+
+
+def test_folds_in_tasks_give_what_the_driver_gives(spark):
+    rng = np.random.default_rng(3)
+    row, feature = np.repeat(np.arange(120), 8), rng.integers(0, 60, 960)
+    pairs = np.unique(np.column_stack([row, feature]), axis=0)
+    targets = np.column_stack([(rng.random(120) < 0.4), (rng.random(120) < 0.3)]).astype(float)
+    here, there = (fit_chain(pairs[:, 0], pairs[:, 1], targets, spark=s) for s in (None, spark))
+    for a, b in zip(here, there, strict=True):
+        assert a.features.tolist() == b.features.tolist() and np.allclose(a.weights, b.weights) and np.allclose(a.earlier, b.earlier)
