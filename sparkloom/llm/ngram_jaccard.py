@@ -7,10 +7,12 @@
    keeps its ``m - t + 1`` rarest shared hashes, m being how many of its hashes are shared at all: a linked pair has one
    of these in common. Rows joined by such hashes form candidate components.
 3. Inside a component the incidence matrix is multiplied with its transpose in column blocks, which accumulates the
-   overlaps; row blocks whose sizes cannot reach the threshold are skipped. Large components are cut into tiles; every
-   tile is multiplied with itself and a few pivot rows of the whole component, and only rows that this leaves outside the
-   component's main group are multiplied with all tiles. Pairs inside one linked group need no further test, since only
-   connected groups are asked for. No pair is ever a row.
+   overlaps; row blocks whose sizes cannot reach the threshold are skipped. Large components are cut into tiles of sets
+   of like size (a size band spans a factor of 1.26, more than a linked pair can differ by). Every tile is multiplied with
+   itself and a few pivot rows of its band and the bands beside it. Pairs inside one linked group need no further test,
+   since only connected groups are asked for; two sets that these products left in different groups can only be linked if
+   they lie in the same or adjacent bands and share one of their rarest hashes, so the set of the smaller group visits the
+   tiles of such partners, and no other. No pair is ever a row.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import ANSWER, BLOCK, HASHES, Blocks, answers, gathered, lookup, per_group, per_pair, to_buckets, told
-from .common import checkpoint, fields, forget_shuffles, mix64, pack_sorted, read_table, shuffle_partitions, slices, text_buffer, unpack_sorted, word_hashes, word_spans
+from .common import BROADCAST_ROWS, checkpoint, fields, forget_shuffles, mix64, pack_sorted, read_table, refuse, shuffle_partitions, slices, text_buffer, unpack_sorted, word_hashes, word_spans
 from .components import connected_components
 from .substring_dedup import WINDOW_BASE, window_hashes
 
@@ -30,7 +32,9 @@ from .substring_dedup import WINDOW_BASE, window_hashes
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 WORDS = 5
-TILE, PIVOTS, COLUMNS = 160, 16, 4096
+TILE, PIVOTS, COLUMNS, CHUNK = 160, 8, 4096, 128
+#: Sizes of a linked pair differ by a factor of 1.25 at most, so they lie in the same or adjacent bands.
+BAND = 1.26
 #: Sets are stored by the upper 48 bits of their hashes: two of a pair's n shingles then meet by chance n*n / 2**48 times.
 DROPPED = np.uint64(16)
 
@@ -122,12 +126,13 @@ def shingle_rows(df: DataFrame, text: str) -> DataFrame:
                 blobs[i] = pack_sorted(hashes[first[i] : first[i + 1]] >> DROPPED)
         return pa.table([*[table.column(c) for c in rest], pa.array(size, pa.int64()), pa.array(ids, pa.int64(), mask=size == 0), pa.array(blobs, pa.binary())], names=[*rest, *SETS])
 
-    met = per_group(blocks.emit(emit, HASHES), "bucket", meet, ANSWER)
+    met = per_group(blocks.emit(emit, HASHES), "bucket", meet, ANSWER, buckets)
     return blocks.answer(met, finish, T.StructType([*[df.schema[c] for c in rest], *fields(**SETS).fields]))
 
 
-def candidate_edges(sets: DataFrame, count: int) -> DataFrame:
-    """Edges (u, v) between sets that have one of their rarest shared hashes in common, as stars around the least set."""
+def candidate_edges(sets: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
+    """Edges (u, v) between sets that have one of their rarest shared hashes in common, as stars around the least set; and
+    these hashes: (set_id, hash), checkpointed."""
     spark = sets.sparkSession
     blocks = max(1, -(-count // 1000), min(-(-count // 50), 4 * shuffle_partitions(spark)))
     buckets = max(shuffle_partitions(spark), count // 4000)
@@ -167,10 +172,10 @@ def candidate_edges(sets: DataFrame, count: int) -> DataFrame:
         ids = table.column("set_id").to_numpy()
         return pa.table({"set_id": ids[row[kept]], "hash": hashes[kept].view(np.int64)})
 
-    met = per_group(per_group(dealt, BLOCK, emit, HASHES + ", counts binary"), "bucket", meet, ANSWER)
+    met = per_group(per_group(dealt, BLOCK, emit, HASHES + ", counts binary"), "bucket", meet, ANSWER, buckets)
     postings = checkpoint(per_pair(dealt, met, rarest, "set_id long, hash long"))
     stars = postings.groupBy("hash").agg(F.min("set_id").alias("v"))
-    return postings.join(stars, "hash").where("set_id != v").select(F.col("set_id").alias("u"), "v").distinct()
+    return postings.join(stars, "hash").where("set_id != v").select(F.col("set_id").alias("u"), "v").distinct(), postings
 
 
 def overlaps(sets: list[np.ndarray], rows: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -248,37 +253,62 @@ def _task(table: pa.Table, cross: bool) -> pa.Table:
     return pa.table({"u": join(u), "v": join(v)})
 
 
-def link_sets(sets: DataFrame, members: DataFrame) -> DataFrame:
-    """Links (u, v) whose components are those of all linked pairs. ``members``: (v, label) of the candidate components."""
-    sizes = members.groupBy(F.col("label").alias("component")).agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    placed = members.select(F.col("v").alias("set_id"), F.col("label").alias("component")).join(sizes, "component")
+def spread_join(rows: DataFrame, few: DataFrame, keys: list[str], spread: str, count: int, salts: int = 16) -> DataFrame:
+    """Left join of ``rows`` with ``few`` (at most a row for each combination of keys, ``count`` in all): by broadcast within
+    the bound of small sides, else with each key's rows dealt over ``salts`` parts by the column ``spread``."""
+    if count <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(few), keys, "left")
+    salted = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(salted, [*keys, "salt"], "left").drop("salt")
+
+
+def link_sets(sets: DataFrame, members: DataFrame, postings: DataFrame) -> DataFrame:
+    """Links (u, v) whose components are those of all linked pairs. ``members``: (v, label) of the candidate components;
+    ``postings``: the hashes that made them. ``sets`` has set_id, size and elements."""
+    parts = shuffle_partitions(sets.sparkSession)
+    members = members.select(F.col("v").alias("set_id"), F.col("label").alias("component"))
+    band = F.floor(F.log("size") / F.log(F.lit(BAND))).cast("int")
+    placed = checkpoint(members.join(sets.select("set_id", band.alias("band")), "set_id"))
+    sizes = placed.groupBy("component").count().where(F.col("count") > TILE).select("component")
+    tiles = placed.groupBy("component", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    tiles = checkpoint(tiles.join(sizes, "component", "left_semi"))  # of large components
+    placed = spread_join(placed, tiles, ["component", "band"], "set_id", tiles.count())
     placed = checkpoint(placed.withColumn("tile", F.pmod(F.xxhash64("set_id"), "tiles").cast("int")))
-    spread = F.lit(8 * shuffle_partitions(sets.sparkSession))
-    task = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("component"), spread)).otherwise(F.xxhash64("component", "tile"))
+    small, large = placed.where("tiles IS NULL"), placed.where("tiles IS NOT NULL")
     columns = ["task", "component", "set_id", "lead"]
-    own = placed.withColumn("task", task).withColumn("lead", F.lit(False)).select(columns)
-    large = placed.where("tiles > 1")
-    pivots = large.where(F.col("tile") < PIVOTS).groupBy("component", "tiles", "tile").agg(F.min("set_id").alias("set_id"))
-    pivots = pivots.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    shown = pivots.withColumn("task", F.xxhash64("component", "tile")).withColumn("lead", F.lit(True)).select(columns)
 
-    def work(parts: DataFrame, cross: bool) -> DataFrame:
-        return checkpoint(per_group(sets.join(parts, "set_id"), "task", lambda t: _task(t, cross), LINKS))
-
-    links = work(own.union(shown), False)
-    if large.isEmpty():
+    def work(rows: DataFrame, cross: bool) -> DataFrame:
+        return checkpoint(per_group(sets.select("set_id", "elements").join(rows.select(columns), "set_id"), "task", lambda t: _task(t, cross), LINKS))
+
+    alone = F.pmod(F.xxhash64("component"), F.lit(8 * parts))  # small components share tasks
+    tiled = F.xxhash64("component", "band", "tile")
+    own = small.withColumn("task", alone).union(large.withColumn("task", tiled)).withColumn("lead", F.lit(False))
+    pivots = large.where(F.col("tile") < PIVOTS).groupBy("component", "band", "tile").agg(F.min("set_id").alias("set_id"))
+    reach = pivots.select("component", "set_id", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    shown = reach.join(tiles, ["component", "band"]).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    links = work(own.select(columns).union(shown.withColumn("task", tiled).withColumn("lead", F.lit(True)).select(columns)), False)
+    if tiles.isEmpty():
         return links
-    labels = connected_components(links)
-    held = checkpoint(large.join(labels.select(F.col("v").alias("set_id"), "label"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id")))
-    main = held.groupBy("component", "label").count().groupBy("component").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-    apart = checkpoint(held.join(main, "component").where("label != main").drop("main", "label").coalesce(max(1, shuffle_partitions(sets.sparkSession) // 8)))
-    if apart.isEmpty():
+    groups = connected_components(links).select(F.col("v").alias("set_id"), "label")
+    held = large.join(groups, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+    held = checkpoint(held.select("set_id", "component", "band", "tile", "label"))
+    count = held.groupBy("label").agg(F.count("*").alias("members"))
+    held = checkpoint(spread_join(held, count, ["label"], "set_id", count.count()))
+    split = held.groupBy("component").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("component")
+    open_ = checkpoint(held.join(split, "component", "left_semi").join(postings, "set_id"))  # components of several groups
+    if open_.isEmpty():
         return links
-    chunks = apart.groupBy("component").agg(F.ceil(F.count("*") / 128).cast("int").alias("chunks"))
-    asked = apart.join(chunks, "component").withColumn("chunk", F.pmod(F.xxhash64("set_id", F.lit(3)), "chunks").cast("int"))
-    asked = asked.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("lead", F.lit(True))
-    shown = held.join(chunks, "component").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("lead", F.lit(False))
-    cross = [df.withColumn("task", F.xxhash64("component", "tile", "chunk")).select(columns) for df in (asked, shown)]
+    group = F.struct("members", "label")
+    homes = open_.groupBy("hash", "component", "band", "tile").agg(F.max(group).alias("most"))  # a row a tile, however common the hash
+    guests = open_.select("hash", "set_id", F.col("label").alias("own"), F.col("members").alias("few"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    larger = F.struct(F.col("few").alias("members"), F.col("own").alias("label")) < F.col("most")  # a larger group's set is there
+    visits = checkpoint(guests.join(homes, ["hash", "band"]).where(larger).select("set_id", "component", "band", "tile").distinct())
+    chunks = checkpoint(visits.groupBy("component", "band", "tile").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")))
+    many, place = chunks.count(), ["component", "band", "tile"]
+    asked = spread_join(visits, chunks, place, "set_id", many).withColumn("chunk", F.pmod(F.xxhash64("set_id", F.lit(3)), "chunks").cast("int")).withColumn("lead", F.lit(True))
+    shown = spread_join(held, chunks, place, "set_id", many).where("chunks IS NOT NULL")
+    shown = shown.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("lead", F.lit(False))
+    cross = [df.withColumn("task", F.xxhash64(*place, "chunk")).select(columns) for df in (asked, shown)]
     return links.union(work(cross[0].union(cross[1]), True))
 
 
@@ -292,22 +322,28 @@ def jaccard_components(df: DataFrame, key: str, text: str, label: str | None = N
     keys may have equal ids; ``label`` names a column for the component's least set_id, which no other has (null for an
     empty set).
     """
-    others = [c for c in df.columns if c not in (key, text)]
-    if clash := ({*SETS, "component_id", *([label] if label else [])} & set(df.columns)):
-        raise ValueError(f"column names in use: {sorted(clash)}")
-    rows = checkpoint(shingle_rows(df.select(key, text, *others), text))
+    refuse(df, [*SETS, "component_id", *([label] if label else [])])
+    others, given = [c for c in df.columns if c not in (key, text)], (key, text)
+    df = df.select(key, text, *others).toDF("key", "text", *[f"column_{k}" for k in range(len(others))])
+    key, text = "key", "text"
+    rows = checkpoint(shingle_rows(df, text))
     forget_shuffles(df.sparkSession)  # the texts
-    sets = checkpoint(rows.where("elements is not null").groupBy("set_id").agg(F.first("elements").alias("elements")))
-    candidates = connected_components(candidate_edges(sets, sets.count()))
+    sets = checkpoint(rows.where("elements is not null").groupBy("set_id").agg(F.first("n_shingles").alias("size"), F.first("elements").alias("elements")))
+    edges, postings = candidate_edges(sets, sets.count())
+    candidates = connected_components(edges)
     forget_shuffles(df.sparkSession)  # the sets' hashes
-    labels = checkpoint(connected_components(link_sets(sets, candidates)))
-    least = rows.where("set_id is not null").groupBy("set_id").agg(F.min(key).alias("least"))
-    held = least.join(labels.withColumnRenamed("v", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    roots = held.groupBy("label").agg(F.min("least").alias("component_id"))
-    more = [F.col("label").alias(label)] if label else []
-    found = held.join(roots, "label").select(F.col("set_id").alias("__set"), "component_id", *more)
-    out = rows.drop("elements").join(found, F.col("set_id") == F.col("__set"), "left").drop("__set")
-    return out.withColumn("component_id", F.when(F.col("set_id").isNull(), F.col(key)).otherwise(F.col("component_id")))
+    labels = checkpoint(connected_components(link_sets(sets, candidates, postings)))
+    least = rows.where("set_id is not null").groupBy("set_id").agg(F.min(key).alias("least"), F.count("*").alias("times"))
+    linked = checkpoint(least.join(labels.withColumnRenamed("v", "set_id"), "set_id"))  # sets with a partner
+    roots = checkpoint(linked.groupBy("label").agg(F.min("least").alias("component_id")))
+    linked = spread_join(linked, roots, ["label"], "set_id", roots.count()).select("set_id", "component_id", "label")
+    copies = least.where("times > 1").join(linked, "set_id", "left_anti").select("set_id", F.col("least").alias("component_id"), F.col("set_id").alias("label"))
+    found = checkpoint(linked.union(copies))  # sets of several rows; copies without number may share one
+    out = spread_join(rows.drop("elements"), found.withColumn("met", F.lit(True)), ["set_id"], key, found.count())
+    out = out.withColumn("component_id", F.when(F.col("met"), F.col("component_id")).otherwise(F.col(key)))
+    more = [F.coalesce("label", "set_id").alias(label)] if label else []
+    kept = [F.col(f"column_{k}").alias(c) for k, c in enumerate(others)]
+    return out.select(F.col(key).alias(given[0]), *kept, "n_shingles", "set_id", "component_id", *more)
 
 
 def op6_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -75,6 +75,37 @@ def test_large_components_in_tiles(spark, monkeypatch):
     assert found(jaccard_components(df, "doc_id", "text")) == brute(rows)
 
 
+def test_groups_of_one_candidate_component(spark, monkeypatch):
+    """Texts of several kinds and sizes that a common passage makes one candidate component: links across tiles, bands and
+    groups are found, and kinds stay apart."""
+    monkeypatch.setattr(ngram_jaccard, "TILE", 5)
+    monkeypatch.setattr(ngram_jaccard, "PIVOTS", 1)
+    monkeypatch.setattr(ngram_jaccard, "CHUNK", 3)
+    monkeypatch.setattr(ngram_jaccard, "BROADCAST_ROWS", 2)
+    rng = random.Random(11)
+    passage, texts = [f"p{k}" for k in range(9)], []
+    for kind in range(6):
+        base = [f"k{kind}w{k}" for k in range(40 + 9 * kind)] + passage
+        for _ in range(14):
+            said = list(base)
+            for _ in range(rng.randrange(4)):
+                said[rng.randrange(len(said) - 9)] = f"n{rng.random()}"
+            texts.append(" ".join(said[: len(said) - rng.randrange(3)]))
+    texts += [" ".join(passage + [f"x{rng.random()}" for _ in range(n)]) for n in range(0, 30, 2)]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = brute(rows)
+    assert len({c for _, _, c in out}) > 10 and found(jaccard_components(df, "doc_id", "text")) == out
+
+
+def test_columns_of_any_name(spark):
+    rows = [(k, "one two three four five six" + " more" * (k % 2), "x", "y", "z", "w") for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `__block` string, `key` string, `label` string, column_0 string")
+    out = jaccard_components(df, "doc_id", "text")
+    assert found(out) == brute([r[:2] for r in rows]) and {(r["__block"], r["key"], r["label"], r["column_0"]) for r in out.collect()} == {("x", "y", "z", "w")}
+
+
 def test_edges(spark):
     rows = [(None, "same words here"), (4, "Same  words\nhere"), (4, "other words"), (None, None), (5, ""), (6, " \t"), (7, "one"), (8, "ONE"), (9, "É é"), (10, "é é"), (10, "é é")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n int")
