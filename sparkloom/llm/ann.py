@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import by_number
 from .common import checkpoint, mix64, read_table, shuffle_partitions, small_side
 
 
@@ -339,8 +340,7 @@ def build_shards(rows: DataFrame, key: str, vector: str, k: int, params: Params
         kinds = pa.schema([("shard", pa.int32()), ("vectors", pa.binary()), ("ids", pa.binary()), ("layers", pa.list_(pa.struct([("members", pa.binary()), ("neighbours", pa.binary())])))])
         return pa.table(row, schema=kinds)
 
-    dealt = placed.select("vector", "ids", shard.cast("int").alias("shard"))
-    dealt = dealt.repartition(max(1, min(int(first[-1]), 16 * shuffle_partitions(spark))), "shard")  # work is not in bytes
+    dealt = by_number(placed.select("vector", "ids", shard.cast("int").alias("shard")), "shard", max(1, int(first[-1])))
     return Index(checkpoint(dealt.groupBy("shard").applyInArrow(run, INDEX)), dims, centres, first, probes)
 
 

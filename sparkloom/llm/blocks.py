@@ -5,6 +5,9 @@ for each hash range (bucket), so a hash costs about six bytes in the shuffle and
 passage that a third of all rows share sends no more than a block's worth of it from each block. A bucket meets the
 blobs of all blocks and answers each block with what it needs to know. The next step reads the same blocks together
 with the answers; Spark reuses the exchange that dealt the texts, so they are shuffled once.
+
+Blocks and buckets both grow with the root of the input beyond 64 GB, up to 16 times (64 MB of text, 32 million hashes), so
+a blob holds some hundreds of hashes up to 16 TB and still about twenty at 100 TB, where a hash costs some nine bytes.
 """
 
 from __future__ import annotations
@@ -16,33 +19,51 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pack_sorted, released, shuffle_partitions, unpack_sorted
+from .common import checkpoint, pack_sorted, refuse, released, shuffle_partitions, unpack_sorted
 
 BLOCK = "__block"
-#: Bytes of text in a block and hashes in a bucket, about.
-BLOCK_BYTES, BUCKET_HASHES = 4 << 20, 2_000_000
+#: Bytes of text in a block and hashes in a bucket, about, as long as the input is no larger than STEADY bytes.
+BLOCK_BYTES, BUCKET_HASHES, STEADY, GROWTH = 4 << 20, 2_000_000, 64 << 30, 16
+#: Most ranges of an ordered key: the driver holds a few numbers for each.
+RANGES = 8192
 
 
 class Blocks:
-    """``rows``: the table with its block number; ``count``: how many blocks; ``buckets(per_byte)``: how many hash ranges."""
-
-    def __init__(self, df: DataFrame, text: str, key: str, ordered: bool = False):
-        """``ordered``: a smaller key is in no later block; equal keys share one. A null key comes after all others."""
-        if BLOCK in df.columns:
-            raise ValueError(f"column name in use: {BLOCK}")
-        self.text, self.spark = text, df.sparkSession
-        rows, self.size = df.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    """``rows``: the table with its block number; ``count``: how many blocks; ``buckets(per_byte)``: how many hash ranges.
+    ``first``: of ordered blocks the first one of each range of keys, and their number."""
+
+    def __init__(self, df: DataFrame, text: str, key: str, ordered: bool = False, block_bytes: int = BLOCK_BYTES, ranges: int = RANGES):
+        """``ordered``: blocks belong to ranges of the key; a smaller key is in no later range, and equal keys share one.
+        Null keys are the last range. A range of much more than a block's bytes has several blocks."""
+        refuse(df, [BLOCK])
+        self.spark = df.sparkSession
+        narrow = checkpoint(df.select(F.col(key), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("size"))) if ordered else df.select(F.octet_length(text).alias("size"))
+        rows, self.size = narrow.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
         self.parts = shuffle_partitions(self.spark)
-        self.count = max(1, -(-self.size // BLOCK_BYTES), min(-(-rows // 200), 4 * self.parts))
+        self.growth = min(GROWTH, max(1.0, (self.size / STEADY) ** 0.5))
+        block_bytes = int(block_bytes * self.growth)
+        self.count = max(1, -(-self.size // block_bytes), min(-(-rows // 200), 4 * self.parts))
+        spread = F.when(F.col(key).isNull(), F.xxhash64(text)).otherwise(F.xxhash64(key, F.octet_length(text)))
         if ordered:
-            cuts = df.approxQuantile(key, [k / self.count for k in range(1, self.count)], 0.2 / self.count) if self.count > 1 else []
-            place = _steps(F.col(key), sorted({int(x) for x in cuts}), self.count)
+            wanted = min(self.count, ranges)
+            cuts = narrow.approxQuantile(key, [k / wanted for k in range(1, wanted)], 0.2 / wanted) if wanted > 1 else []
+            cuts = sorted({int(x) for x in cuts})
+            last = len(cuts) + 1
+            sizes = {r[0]: r[1] for r in narrow.groupBy(_steps(F.col(key), cuts, last)).agg(F.sum("size")).collect()}  # a row a range
+            parts = [1 if sizes.get(k, 0) <= 4 * block_bytes else -(-sizes[k] // block_bytes) for k in range(last + 1)]
+            self.first = np.concatenate([[0], np.cumsum(parts)]).astype(np.int64)
+            self.count = int(self.first[-1])
+            place = _steps(F.col(key), cuts, last)
+            if max(parts) > 1:
+                at = F.get(_numbers(self.first.tolist()), place)
+                place = at + F.pmod(F.xxhash64(key, text), F.get(_numbers(parts), place))
+            place = place.cast("int")
         else:
-            place = F.pmod(F.xxhash64(key, F.octet_length(text)), F.lit(self.count)).cast("int")
+            place = F.pmod(spread, F.lit(self.count)).cast("int")
         self.rows = df.withColumn(BLOCK, place)
 
     def buckets(self, hashes_per_byte: float) -> int:
-        return max(self.parts, int(self.size * hashes_per_byte / BUCKET_HASHES))
+        return max(self.parts, int(self.size * hashes_per_byte / (BUCKET_HASHES * self.growth)))
 
     def emit(self, run: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
         return per_group(self.rows, BLOCK, run, schema)
@@ -51,9 +72,21 @@ class Blocks:
         return per_pair(self.rows, answers, run, schema)
 
 
-def per_group(df: DataFrame, key: str, run: Callable[[pa.Table], pa.Table], schema) -> DataFrame:
+#: More tasks than that in one stage are left to Spark's own dealing.
+MOST_TASKS = 100_000
+
+
+def by_number(df: DataFrame, key: str, count: int) -> DataFrame:
+    """``df`` with a task for each value of ``key``, a number from 0 to count - 1: work on such groups is not in proportion to
+    their bytes, by which Spark would put several into one task."""
+    return df.repartitionById(count, F.col(key)) if count <= MOST_TASKS else df
+
+
+def per_group(df: DataFrame, key: str, run: Callable[[pa.Table], pa.Table], schema, count: int | None = None) -> DataFrame:
+    """``run`` for the rows of each key; ``count``: see ``by_number``."""
     step = released(run)
-    return df.groupBy(key).applyInArrow(lambda table: step(table), schema)
+    dealt = by_number(df, key, count) if count else df
+    return dealt.groupBy(key).applyInArrow(lambda table: step(table), schema)
 
 
 def per_pair(rows: DataFrame, answers: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema) -> DataFrame:
@@ -62,12 +95,16 @@ def per_pair(rows: DataFrame, answers: DataFrame, run: Callable[[pa.Table, pa.Ta
     return rows.groupBy(BLOCK).cogroup(answers.groupBy("block")).applyInArrow(lambda left, right: step(left, right), schema)
 
 
+def _numbers(values: list[int]) -> Column:
+    """An array of longs as one constant, however many they are."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
 def _steps(column: Column, cuts: list[int], last: int) -> Column:
     """How many of the sorted cuts are at most the column's value, by binary search; ``last`` for null."""
     if not cuts:
         return F.when(column.isNull(), F.lit(last)).otherwise(F.lit(0))
-    bounds = F.array(*[F.lit(c).cast("long") for c in cuts])
-    bits = F.array(*[F.lit(1 << k) for k in range(len(cuts).bit_length() - 1, -1, -1)])
+    bounds, bits = _numbers(cuts), F.array(*[F.lit(1 << k) for k in range(len(cuts).bit_length() - 1, -1, -1)])
     found = F.aggregate(bits, F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) <= column, at + step).otherwise(at))
     return F.when(column.isNull(), F.lit(last)).otherwise(found)
 

@@ -1,9 +1,11 @@
 """Substring dedup: Rabin-Karp hashes of every window of 13 words; repeated windows merge into removal intervals.
 
 Blocks of documents are cut by ascending id. Each block sends its distinct window hashes, a bucket of a hash range tells
-every block which of them stand in an earlier block, and the block itself knows which stand in an earlier document of
-its own. A word that any such window covers is removed; adjacent and overlapping windows make one interval. Hashes have
-64 bits: among n distinct windows an equal pair of different ones is expected n*n / 2**65 times.
+every block which of them stand in an earlier range of ids, and the block itself knows which stand in an earlier document
+of its own. A range that a repeated or missing id makes too large has several blocks; hashes that several blocks of one
+range share, and no earlier one, are exchanged once more with the least id that each block has them under. A word that
+any such window covers is removed; adjacent and overlapping windows make one interval. Hashes have 64 bits: among n
+distinct windows an equal pair of different ones is expected n*n / 2**65 times.
 """
 
 from __future__ import annotations
@@ -14,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import ANSWER, BLOCK, HASHES, Blocks, answers, gathered, lookup, per_group, text_column, to_buckets, told
-from .common import fields, mix64, read_table, slices, text_buffer, word_hashes, word_spans
+from .blocks import ANSWER, BLOCK, BLOCK_BYTES, HASHES, RANGES, Blocks, answers, gathered, lookup, per_group, text_column, to_buckets, told
+from .common import fields, mix64, read_table, refuse, slices, text_buffer, word_hashes, word_spans
 
 #: Multiplier of the rolling hash over word hashes.
 WINDOW_BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -64,18 +66,24 @@ def kept_words(part: np.ndarray, local: np.ndarray, starts: np.ndarray, ends: np
 SPANS = fields(n_words="long", n_removed="long", removed=T.ArrayType(fields(word="long", length="long")), kept="string")
 
 
-def substring_dedup(df: DataFrame, key: str, text: str, size: int = 13) -> DataFrame:
+#: What a bucket says of a hash: an earlier range has it; no earlier one, but another block of the same range.
+EARLIER, SHARED = 1, 2
+
+
+def substring_dedup(df: DataFrame, key: str, text: str, size: int = 13, block_bytes: int = BLOCK_BYTES, ranges: int = RANGES) -> DataFrame:
     """``df`` with ``n_words``, ``n_removed``, ``removed`` (maximal intervals of removed words) and ``kept`` (text).
 
     A word is removed if a window of ``size`` words that covers it also starts in a row with a smaller key. Words are
     [^\\x20\\x09-\\x0D]+ of the whole text, unchanged. ``key`` is an integer column. A null text has no words and an
     empty ``kept``; a text of fewer words than a window loses none; rows of equal keys never cause each other's removal;
-    a null key counts as larger than any other. Columns of the new names raise ValueError.
+    a null key counts as larger than any other. An empty table gives no rows. Columns of the new names raise ValueError;
+    other columns may have any name.
     """
-    if clash := set(SPANS.fieldNames()) & set(df.columns):
-        raise ValueError(f"column names in use: {sorted(clash)}")
-    blocks, names = Blocks(df, text, key, ordered=True), df.columns
-    buckets = blocks.buckets(0.17)
+    refuse(df, SPANS.fieldNames())
+    given, names = df.schema, [f"column_{k}" for k in range(len(df.columns))]
+    key, text, df = names[given.names.index(key)], names[given.names.index(text)], df.toDF(*names)
+    blocks = Blocks(df, text, key, True, block_bytes, ranges)
+    buckets, first = blocks.buckets(0.17), blocks.first
 
     def emit(table: pa.Table) -> pa.Table:
         data, offsets = text_buffer(table.column(text))
@@ -85,19 +93,58 @@ def substring_dedup(df: DataFrame, key: str, text: str, size: int = 13) -> DataF
     def meet(table: pa.Table) -> pa.Table:
         hashes, block, _, _ = gathered(table)
         order = np.argsort(hashes, kind="stable")  # blocks ascend among equal hashes
-        later = np.flatnonzero(hashes[order][1:] == hashes[order][:-1]) + 1
-        return answers(block[order[later]], hashes[order[later]])
+        hashes, block = hashes[order], block[order]
+        part = np.searchsorted(first, block, "right")
+        fresh = np.ones(len(hashes), bool)
+        fresh[1:] = hashes[1:] != hashes[:-1]
+        lead = part[fresh][np.cumsum(fresh) - 1] if len(part) else part
+        same = ~fresh & (part == lead)
+        shared = same.copy()
+        shared[:-1] |= same[1:]  # the first of them too
+        flag = np.where(part > lead, EARLIER, np.where(shared, SHARED, 0)).astype(np.uint8)
+        return answers(block[flag > 0], hashes[flag > 0], flag[flag > 0])
+
+    def owners(found: list, keys: np.ndarray) -> np.ndarray:
+        return np.concatenate([keys[x[0] + np.searchsorted(x[6], x[8], "right") - 1] for x in found])
+
+    def emit_least(table: pa.Table, answer: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return to_buckets(0, np.zeros(0, np.uint64), 1, least=np.zeros(0, np.int64))
+        known, flag = told(answer, np.uint8)
+        known = known[flag == SHARED]
+        data, offsets = text_buffer(table.column(text))
+        found = list(_windows(data, offsets, size))
+        every, owner = np.concatenate([x[7] for x in found]), owners(found, table.column(key).fill_null(NO_ID).to_numpy().astype(np.int64))
+        use = lookup(every, known)[0]
+        order = np.lexsort((owner[use], every[use]))
+        hashes, owner = every[use][order], owner[use][order]
+        fresh = np.ones(len(hashes), bool)
+        fresh[1:] = hashes[1:] != hashes[:-1]
+        return to_buckets(table.column(BLOCK)[0].as_py(), hashes[fresh], buckets, least=owner[fresh])
+
+    def meet_least(table: pa.Table) -> pa.Table:
+        hashes, block, order, _ = gathered(table)
+        column = table.column("least")
+        least = np.concatenate([np.frombuffer(column[i].as_buffer(), np.int64) for i in order])
+        _, group = np.unique(hashes, return_inverse=True)  # SHARED hashes stand in one range only
+        lowest = np.full(group.max() + 1, NO_ID)
+        np.minimum.at(lowest, group, least)
+        return answers(block, hashes, lowest[group])
 
     def finish(table: pa.Table, answer: pa.Table) -> pa.Table:
         if not table.num_rows:
             return no_rows(table, names)
-        known, _ = told(answer)
+        second = np.array([kind == 1 for kind in answer.column("kind").to_pylist()], bool)
+        known, flag = told(answer.filter(pa.array(~second)), np.uint8)
+        known = known[flag == EARLIER]
         data, offsets = text_buffer(table.column(text))
-        keys = table.column(key).fill_null(NO_ID).to_numpy().astype(np.int64)
         found = list(_windows(data, offsets, size))
-        every = np.concatenate([x[7] for x in found]) 
-        owner = np.concatenate([keys[x[0] + np.searchsorted(x[6], x[8], "right") - 1] for x in found])
+        every, owner = np.concatenate([x[7] for x in found]), owners(found, table.column(key).fill_null(NO_ID).to_numpy().astype(np.int64))
         repeated, _ = lookup(every, known)
+        if second.any():
+            known, lowest = told(answer.filter(pa.array(second)), np.int64)
+            has, at = lookup(every, known)
+            repeated[has] |= lowest[at[has]] < owner[has]
         order = np.argsort(every, kind="stable")
         same = every[order][1:] == every[order][:-1]
         twice = np.zeros(len(every), bool)
@@ -136,8 +183,12 @@ def substring_dedup(df: DataFrame, key: str, text: str, size: int = 13) -> DataF
         made = [pa.array(np.concatenate(n_words), pa.int64()), pa.array(np.concatenate(n_removed), pa.int64()), pa.chunked_array(spans), text_column(kept, pa.string())]
         return pa.table([*[table.column(c) for c in names], *made], names=[*names, *SPANS.fieldNames()])
 
-    met = per_group(blocks.emit(emit, HASHES), "bucket", meet, ANSWER)
-    return blocks.answer(met, finish, T.StructType([*df.schema.fields, *SPANS.fields]))
+    met = per_group(blocks.emit(emit, HASHES), "bucket", meet, ANSWER, buckets)
+    said = met.withColumn("kind", F.lit(0))
+    if blocks.count > len(first) - 1:  # some range has several blocks
+        least = per_group(blocks.answer(met, emit_least, HASHES + ", least binary"), "bucket", meet_least, ANSWER, buckets)
+        said = said.union(least.withColumn("kind", F.lit(1)))
+    return blocks.answer(said, finish, T.StructType([*df.schema.fields, *SPANS.fields])).toDF(*given.names, *SPANS.fieldNames())
 
 
 def no_rows(table: pa.Table, names: list[str]) -> pa.Table:

@@ -78,3 +78,28 @@ def test_blobs():
     assert hashes.tolist() == [3, 9] and extra.tolist() == [3, 1]
     assert answers(np.zeros(0, int), np.zeros(0, np.uint64)).num_rows == 0
     assert slices(np.array([0, 5, 5, 100, 101]), 10) == [(0, 2), (2, 3), (3, 4)]
+
+
+@pytest.mark.parametrize("block_bytes, ranges", [(2000, 3), (300, 1), (4000, 50)])
+def test_ranges_of_several_blocks(spark, docs, block_bytes, ranges):
+    """Ranges with more bytes than a block: hashes that only blocks of one range share are settled by a second exchange."""
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert found(substring_dedup(docs, "doc_id", "text", 13, block_bytes, ranges)) == brute(rows)
+
+
+def test_a_third_of_all_rows_under_one_id_or_none(spark):
+    rng = np.random.default_rng(7)
+    shared = " ".join(f"s{k}" for k in range(40))
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 50, 30)) + (" " + shared if k % 3 else "") for k in range(240)]
+    rows = [(7 if k % 3 == 0 else None if k % 3 == 1 else k, t) for k, t in enumerate(texts)] + [(7, texts[0])] * 5 + [(None, shared)] * 3 + [(3, shared)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for block_bytes in (1000, 4 << 20):
+        assert found(substring_dedup(df, "doc_id", "text", 13, block_bytes)) == brute(rows)
+
+
+def test_one_very_long_text_and_columns_of_any_name(spark):
+    long = " ".join(f"{k * k % 1009}" for k in range(300_000))
+    rows = [(1, " ".join(str(k * k % 1009) for k in range(1000))), (2, long), (0, "a b c")]
+    df = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], "doc_id long, text string, `__block` string, column_1 string, kind string")
+    out = substring_dedup(df, "doc_id", "text", block_bytes=5000)
+    assert found(out) == brute(rows) and {(r["__block"], r["column_1"], r["kind"]) for r in out.collect()} == {("x", "y", "z")}
