@@ -3,17 +3,19 @@
 Only texts that can hold a repeat reach the transforms. The windows of 400 bytes that share their least-hashed substring
 of 240 bytes (their anchor) form a run; a run's bytes are its context. Equal windows have equal anchors at equal places, so
 1. blocks of documents exchange anchor hashes, and a context whose anchor occurs once holds no repeat;
-2. a context that occurs twice is repeated as a whole, and is represented by one copy from here on;
-3. what is left is anchors with several different contexts. Up to 64 of them meet in a bucket by anchor hash. The contexts
-   of one block are a shard: its suffixes are sorted and give the shard's transform, over symbols of 50 bytes (a context's
-   chains of every 50th position are its strings, so a 400-byte prefix is eight symbols). The shards' transforms are merged
-   by iterative interleave refinement: each round sorts the interleave stably by the transform's symbols and carries the
-   boundaries of equal prefixes along, so after eight rounds the interleave's blocks are the sets of suffixes with a common
-   prefix of 400 bytes. Suffixes are never sorted again. Blocks of two or more are the repeated intervals.
-   An anchor with more contexts lies in a passage that very many texts share; all of its contexts in one task would be an
-   unbounded group, so their windows are counted one by one by their hashes, spread over all buckets;
+2. equal contexts are one string with a multiplicity: blocks exchange the hashes of the contexts that are left, and one copy
+   of each goes on, marked if there are more;
+3. contexts of one anchor meet in a bucket by its hash. Those that one block sends are a shard: its suffixes are sorted and
+   give the shard's transform, over symbols of 50 bytes (a context's chains of every 50th position are its strings, so a
+   400-byte prefix is eight symbols). The shards' transforms are merged by iterative interleave refinement: each round
+   sorts the interleave stably by the transform's symbols and carries the boundaries of equal prefixes along, so after
+   eight rounds the interleave's blocks are the sets of suffixes with a common prefix of 400 bytes. Suffixes are never
+   sorted again. Blocks that count two or more, multiplicities included, are the repeated intervals;
 4. each block of documents marks its repeated windows, and the bytes they cover go.
 
+An anchor with more than FAMILY different contexts lies in a passage that very many different texts share; all of them in
+one task would be an unbounded group, so their windows are counted one by one by their hashes, spread over all buckets.
+
 Symbols and contexts are compared by mixed 64-bit polynomial hashes. The texts are shuffled once; blocks read the same
 exchange in all four steps.
 """
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import BLOCK, HASHES, Blocks, answers, cut_points, gathered, lookup, per_group, text_column, to_buckets, told
-from .common import BYTE_BASE, fields, mix64, pack_sorted, powers, read_table, slices, text_buffer, unpack_sorted
+from .common import BYTE_BASE, fields, mix64, pack_sorted, powers, read_table, refuse, slices, text_buffer, unpack_sorted
 
 DEPTH = 8
 
@@ -142,9 +144,9 @@ def merge_transforms(transforms: list[np.ndarray], chains: list[int], depth: int
     return merged, block
 
 
-def repeated_windows(shards: list[tuple[np.ndarray, np.ndarray]], size: int) -> list[np.ndarray]:
+def repeated_windows(shards: list[tuple[np.ndarray, np.ndarray]], size: int, times: list[np.ndarray] | None = None) -> list[np.ndarray]:
     """For each shard (bytes, offsets of its strings): which bytes start a string of ``size`` bytes that starts elsewhere
-    in one of the shards too."""
+    in one of the shards too. ``times``: how often each string of a shard stands for (once, if not given)."""
     step = size // DEPTH
     hashes, layout = [], []
     for data, offsets in shards:
@@ -165,7 +167,13 @@ def repeated_windows(shards: list[tuple[np.ndarray, np.ndarray]], size: int) ->
     merged, block = merge_transforms([t for _, t in made], chains, DEPTH)
     order = np.argsort(merged, kind="stable")
     out, at = [], 0
-    common = np.bincount(block)[block] > 1
+    weight = np.ones(len(merged), np.int64)
+    for (rows, _), (place, row, _, _), own in zip(made, layout, times or [], strict=False):
+        inner = np.flatnonzero(rows < len(place))
+        weight[order[at + inner]] = own[row[place[rows[inner]]]]
+        at += len(rows)
+    at = 0
+    common = np.bincount(block, weights=weight)[block] > 1
     for (rows, _), (place, row, _, _), (data, offsets) in zip(made, layout, shards, strict=True):
         hit = common[order[at : at + len(rows)]]
         at += len(rows)
@@ -179,11 +187,14 @@ def repeated_windows(shards: list[tuple[np.ndarray, np.ndarray]], size: int) ->
 MARKS = "kind int, bucket int, block int, hashes binary, extra binary, texts binary"
 ANSWER = "block int, hashes binary, extra binary"
 VERDICT = "kind int, " + ANSWER
-#: Kinds of rows: contexts repeated as a whole; contexts as texts, answered by a bit for each window; contexts whose
-#: windows are counted one by one; hashes of such windows.
-WHOLE, TEXTS, SPLIT, WINDOWS = range(4)
-#: Most different contexts of one anchor whose transforms are merged.
-FAMILY = 64
+#: Kinds of rows: contexts that a block has and others too, asked for as a whole; contexts as texts, answered by a bit for
+#: each window; contexts whose windows are counted one by one; hashes of such windows; such contexts that occur again.
+WHOLE, TEXTS, SPLIT, WINDOWS, AGAIN = range(5)
+#: Most different contexts of one anchor whose transforms are merged: two megabytes of text.
+FAMILY = 4096
+#: What a block is told of a context: others have it; this block sends it; with multiplicity; its windows are counted; they
+#: count twice; it occurs again among those that are counted.
+ASK, SEND, HEAVY, COUNT, TWICE, KNOWN = (1 << k for k in range(6))
 SPANS = {"n_bytes": "long", "n_removed": "long", "removed": T.ArrayType(fields(start="long", length="long")), "kept": "binary"}
 
 
@@ -194,13 +205,14 @@ def suffix_dedup(df: DataFrame, key: str, text: str, size: int = 400, whole_char
     Matches lie inside one text; all copies go, the first too; strings are judged on the input. A null text counts as
     empty; texts of fewer bytes lose nothing. ``size`` is a multiple of 8. ``key`` only deals rows to blocks: it may be
     null or repeated. ``whole_characters``: a character of several bytes goes only if all of them do, so that what is kept
-    is valid UTF-8. Columns of the new names raise ValueError.
+    is valid UTF-8. An empty table gives no rows. Columns of the new names raise ValueError; others may have any name.
     """
-    if clash := set(SPANS) & set(df.columns):
-        raise ValueError(f"column names in use: {sorted(clash)}")
+    refuse(df, SPANS)
     if size % DEPTH or size < 2 * DEPTH:
         raise ValueError("the size must be a multiple of 8, and 16 at least")
-    blocks, names = Blocks(df, text, key), df.columns
+    given, names = df.schema, [f"column_{k}" for k in range(len(df.columns))]
+    key, text, df = names[given.names.index(key)], names[given.names.index(text)], df.toDF(*names)
+    blocks = Blocks(df, text, key)
     buckets, width = max(blocks.buckets(0.05), blocks.size // (4 << 20)), (size - size * 3 // 5 + 8) // 8
 
     def runs(table: pa.Table):
@@ -256,9 +268,10 @@ def suffix_dedup(df: DataFrame, key: str, text: str, size: int = 400, whole_char
         first[1:] = anchor[1:] != anchor[:-1]
         family = np.cumsum(first) - 1
         many = np.bincount(family, weights=fresh)[family]
-        merge, split = (many > 1) & (many <= FAMILY), many > FAMILY
-        # 1: repeated as a whole; 2: this block sends the context; 4: its windows are counted; 8: they count twice
-        flag = (sure + 2 * (merge & fresh) + 4 * (split & ~sure) + 8 * (split & sure & fresh)).astype(np.uint8)
+        split = many > FAMILY
+        merge = ~split & ((many > 1) | sure)
+        flag = ASK * (merge & sure) + SEND * (merge & fresh) + HEAVY * (merge & fresh & sure)
+        flag = (flag + COUNT * (split & ~sure) + TWICE * (split & sure & fresh) + KNOWN * (split & sure)).astype(np.uint8)
         use = flag > 0
         return answers(block[use], context[use], flag[use])
 
@@ -267,15 +280,17 @@ def suffix_dedup(df: DataFrame, key: str, text: str, size: int = 400, whole_char
         if table.num_rows and answer.num_rows:
             own = number(table)
             known, flag = told(answer, np.uint8)
-            for kind, bit in ((WHOLE, 1), (SPLIT, 4)):
+            for kind, bit in ((SPLIT, COUNT), (AGAIN, KNOWN)):
                 out.append((kind, own % buckets, own, pack_sorted(np.unique(known[(flag & bit) > 0])), None, None))
-            send, one, two = (known[(flag & bit) > 0] for bit in (2, 4, 8))
+            ask, send, heavy, one, two = (known[(flag & bit) > 0] for bit in (ASK, SEND, HEAVY, COUNT, TWICE))
             picked: dict[int, tuple[int, bytes]] = {}
-            windows, twice, seen = [], [], set()
+            windows, twice, seen, asked = [], [], set(), [np.zeros((2, 0), np.uint64)]
             for _, _, part, _, lo, hi, anchor, context in runs(table):
                 for i in np.flatnonzero(lookup(context, send)[0]).tolist():
                     if int(context[i]) not in picked:
                         picked[int(context[i])] = (int(anchor[i]), part[lo[i] : hi[i] + size].tobytes())
+                also = lookup(context, ask)[0]
+                asked.append(np.stack([anchor[also], context[also]]))
                 counted, doubled = lookup(context, one)[0], lookup(context, two)[0]
                 for i in np.flatnonzero(doubled).tolist():  # one copy speaks for all
                     doubled[i] = int(context[i]) not in seen
@@ -288,7 +303,14 @@ def suffix_dedup(df: DataFrame, key: str, text: str, size: int = 400, whole_char
             cut = cut_points(np.array([r[0] for r in rows], np.uint64), buckets)
             for b in np.flatnonzero(np.diff(cut)).tolist():
                 mine = rows[cut[b] : cut[b + 1]]
-                out.append((TEXTS, b, own, np.array([r[1] for r in mine], np.uint64).tobytes(), np.array([len(r[2]) for r in mine], np.int64).tobytes(), b"".join(r[2] for r in mine)))
+                names = np.array([r[1] for r in mine], np.uint64)
+                sizes = np.array([len(r[2]) for r in mine], np.int64) * 2 + lookup(names, heavy)[0]
+                out.append((TEXTS, b, own, names.tobytes(), sizes.tobytes(), b"".join(r[2] for r in mine)))
+            anchor, context = np.concatenate(asked, axis=1)
+            order = np.lexsort((context, anchor))
+            anchor, context = anchor[order], context[order]
+            cut = cut_points(anchor, buckets)
+            out += [(WHOLE, b, own, pack_sorted(np.unique(context[cut[b] : cut[b + 1]])), None, None) for b in np.flatnonzero(np.diff(cut)).tolist()]
             if windows:
                 hashes, times = np.concatenate(windows + twice), np.repeat([1, 2], [sum(map(len, windows)), sum(map(len, twice))])
                 hashes, group = np.unique(hashes, return_inverse=True)
@@ -300,7 +322,7 @@ def suffix_dedup(df: DataFrame, key: str, text: str, size: int = 400, whole_char
 
     def meet_marks(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: (r["block"], r["kind"]))
-        out = [(r["kind"], r["block"], r["hashes"], None) for r in rows if r["kind"] in (WHOLE, SPLIT)]
+        out = [(r["kind"], r["block"], r["hashes"], None) for r in rows if r["kind"] in (SPLIT, AGAIN)]
         counted = [r for r in rows if r["kind"] == WINDOWS]
         if counted:
             parts = [unpack_sorted(r["hashes"]) for r in counted]
@@ -311,27 +333,38 @@ def suffix_dedup(df: DataFrame, key: str, text: str, size: int = 400, whole_char
                 out.append((WINDOWS, r["block"], pack_sorted(part[repeated[group[at : at + len(part)]]]), None))
                 at += len(part)
         texts = [r for r in rows if r["kind"] == TEXTS]
-        shards = [(np.frombuffer(r["texts"], np.uint8), np.concatenate([[0], np.cumsum(np.frombuffer(r["extra"], np.int64))])) for r in texts]
-        for r, mark, (_, offsets) in zip(texts, repeated_windows(shards, size) if shards else [], shards, strict=True):
+        sizes = [np.frombuffer(r["extra"], np.int64) for r in texts]
+        shards = [(np.frombuffer(r["texts"], np.uint8), np.concatenate([[0], np.cumsum(n >> 1)])) for r, n in zip(texts, sizes, strict=True)]
+        marks, found = repeated_windows(shards, size, [1 + (n & 1) for n in sizes]) if shards else [], [np.zeros(0, np.uint64)]
+        for r, mark, (_, offsets), n in zip(texts, marks, shards, sizes, strict=True):
             hashes = np.frombuffer(r["hashes"], np.uint64)
+            total = np.concatenate([[0], np.cumsum(mark)])
+            found.append(hashes[total[offsets[1:]] - total[offsets[:-1]] == (n >> 1) - size + 1])  # repeated from end to end
             bits = np.zeros((len(hashes), 8 * width), bool)
             row = np.repeat(np.arange(len(hashes)), np.diff(offsets))
             hit = np.flatnonzero(mark)
             bits[row[hit], hit - offsets[row[hit]]] = True
             order = np.argsort(hashes)
+            order = order[n[order] & 1 == 0]  # a block asks for the others
             out.append((TEXTS, r["block"], pack_sorted(hashes[order]), np.packbits(bits[order], axis=1).tobytes()))
+        whole = np.sort(np.concatenate(found))
+        for r in rows:
+            if r["kind"] == WHOLE:
+                asked = unpack_sorted(r["hashes"])
+                out.append((WHOLE, r["block"], pack_sorted(asked[lookup(asked, whole)[0]]), None))
         return pa.table([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["kind", "block", "hashes", "extra"])
 
     def finish(table: pa.Table, answer: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table([*[table.column(c) for c in names], *[pa.array([], k) for k in (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])), pa.binary())]], names=[*names, *SPANS])
-        said: dict[int, list] = {kind: [np.zeros(0, np.uint64)] for kind in range(4)}
+        said: dict[int, list] = {kind: [np.zeros(0, np.uint64)] for kind in range(5)}
         bits = [np.zeros((0, width), np.uint8)]
         for i, kind in enumerate(answer.column("kind").to_pylist()):
             said[kind].append(unpack_sorted(answer.column("hashes")[i].as_buffer()))
             if kind == TEXTS:
                 bits.append(np.frombuffer(answer.column("extra")[i].as_buffer(), np.uint8).reshape(-1, width))
-        whole, split, counted = (np.sort(np.concatenate(said[kind])) for kind in (WHOLE, SPLIT, WINDOWS))
+        whole = np.sort(np.concatenate(said[WHOLE] + said[AGAIN]))
+        split, counted = (np.sort(np.concatenate(said[kind])) for kind in (SPLIT, WINDOWS))
         partial, bits = np.concatenate(said[TEXTS]), np.concatenate(bits)
         order = np.argsort(partial)
         partial, bits = partial[order], bits[order]
@@ -375,10 +408,10 @@ def suffix_dedup(df: DataFrame, key: str, text: str, size: int = 400, whole_char
         made = [pa.array(np.concatenate(n_bytes), pa.int64()), pa.array(np.concatenate(n_removed), pa.int64()), pa.chunked_array(spans), text_column(kept, pa.binary())]
         return pa.table([*[table.column(c) for c in names], *made], names=[*names, *SPANS])
 
-    known = per_group(blocks.emit(emit_anchors, HASHES), "bucket", meet_anchors, ANSWER)
-    flags = per_group(blocks.answer(known, emit_contexts, HASHES + ", contexts binary, times binary"), "bucket", meet_contexts, ANSWER)
-    marks = per_group(blocks.answer(flags, emit_marks, MARKS), "bucket", meet_marks, VERDICT)
-    return blocks.answer(marks, finish, T.StructType([*df.schema.fields, *fields(**SPANS).fields]))
+    known = per_group(blocks.emit(emit_anchors, HASHES), "bucket", meet_anchors, ANSWER, buckets)
+    flags = per_group(blocks.answer(known, emit_contexts, HASHES + ", contexts binary, times binary"), "bucket", meet_contexts, ANSWER, buckets)
+    marks = per_group(blocks.answer(flags, emit_marks, MARKS), "bucket", meet_marks, VERDICT, buckets)
+    return blocks.answer(marks, finish, T.StructType([*df.schema.fields, *fields(**SPANS).fields])).toDF(*given.names, *SPANS)
 
 
 def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:

@@ -135,3 +135,17 @@ def test_anchors_and_hashes(monkeypatch):
     half = len(lo) // 2
     assert (hi - lo + 1).sum() == 2 * 301 and (anchor[:half] == anchor[half:]).all() and (context[:half] == context[half:]).all()
     assert sort_suffixes(np.array([2, 1, 2, 1]), np.array([1, 2, 3, 4])).tolist() == [3, 1, 2, 0]
+
+
+def test_one_very_long_text_and_columns_of_any_name(spark):
+    """Ten million bytes in one row, with repeats inside it and with others."""
+    rng = random.Random(9)
+    part = "".join(rng.choice("abcdefgh ") for _ in range(700))
+    long = "".join(f"{k} {k * k % 10007} " for k in range(900_000)) + part
+    rows = [(1, long[5_000_000:5_003_000] + "x"), (2, long), (0, "y" + part), (3, part[:399])]
+    assert len(long) > 9_000_000
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, `__block` string, column_0 string")
+    out = {r["doc_id"]: r for r in suffix_dedup(df, "doc_id", "text").collect()}
+    assert [(out[k]["n_bytes"], out[k]["n_removed"]) for k in (0, 1, 3)] == [(701, 700), (3001, 3000), (399, 0)]
+    assert [tuple(s) for s in out[2]["removed"]] == [(5_000_000, 3000), (len(long) - 700, 700)]
+    assert {(r["__block"], r["column_0"]) for r in out.values()} == {("x", "y")}
