@@ -164,3 +164,27 @@ def op2_hilbert_sharding(spark, sf_dir: str) -> DataFrame:
     rows = docs.select("doc_id", "source", "lang", "n_chars", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     out = hilbert_shards(rows, DOCUMENT_DIMENSIONS, SHARDS, ["text_crc32", "size", "doc_id", "source", "lang", "n_chars"])
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+def _cell_sql(column: str) -> str:
+    return f"(SELECT {column} AS v, ((row_number() OVER (ORDER BY {column}) - 1) * 256 // count(*) OVER ())::INTEGER AS cell FROM (SELECT DISTINCT {column} FROM documents WHERE {column} IS NOT NULL))"
+
+
+#: The same in SQL: checksums by the byte table of the reflected polynomial, the curve by the automaton, one step a bit.
+OP2_SQL = f"""
+WITH RECURSIVE p AS (SELECT i AS n, i::BIGINT AS v, 0 AS step FROM range(256) r(i)
+  UNION ALL SELECT n, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, step + 1 FROM p WHERE step < 8),
+c AS MATERIALIZED (SELECT list(v ORDER BY n) AS crc_table, {hilbert_table(3)} AS curve_table FROM p WHERE step = 8),
+e AS (SELECT min(ln(greatest(n_chars, 0) + 1) / ln(2)) AS low, max(ln(greatest(n_chars, 0) + 1) / ln(2)) AS high FROM documents),
+d AS MATERIALIZED (SELECT doc_id, source, lang, n_chars, (octet_length(encode(coalesce(text, ''))) + 16)::BIGINT AS size,
+  list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes,
+  coalesce(s.cell, 0) AS a, coalesce(l.cell, 0) AS b,
+  CASE WHEN n_chars IS NULL OR high <= low THEN 0 ELSE least(floor((ln(greatest(n_chars, 0) + 1) / ln(2) - low) * (256 / (high - low))), 255)::INTEGER END AS c
+  FROM documents LEFT JOIN {_cell_sql("source")} s ON source = s.v LEFT JOIN {_cell_sql("lang")} l ON lang = l.v, e),
+h AS (SELECT doc_id, source, lang, n_chars, size,
+  xor(list_reduce(bytes, lambda crc, byte: xor(crc >> 8, crc_table[(xor(crc, byte) & 255) + 1]), 4294967295::BIGINT), 4294967295)::BIGINT AS text_crc32,
+  list_reduce([7, 6, 5, 4, 3, 2, 1, 0]::BIGINT[], lambda now, bit: (now // 24 * 8 + (curve_table[now % 24 * 8 + ((a >> bit) & 1) + 2 * ((b >> bit) & 1) + 4 * ((c >> bit) & 1) + 1] & 7)) * 24
+    + (curve_table[now % 24 * 8 + ((a >> bit) & 1) + 2 * ((b >> bit) & 1) + 4 * ((c >> bit) & 1) + 1] >> 3), 0::BIGINT) // 24 AS curve FROM d, c),
+r AS (SELECT *, row_number() OVER (ORDER BY curve, text_crc32, size, doc_id NULLS FIRST, source NULLS FIRST, lang NULLS FIRST, n_chars NULLS FIRST) - 1 AS place, count(*) OVER () AS whole FROM h)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (place * {SHARDS} // whole)::INTEGER AS shard, place - (place * {SHARDS} // whole * whole + {SHARDS - 1}) // {SHARDS} AS slot, NULL::INTEGER AS grown_shard, curve FROM r
+"""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .ann import op1_hnsw
-from .hilbert_sharding import op2_hilbert_sharding
+from .hilbert_sharding import OP2_SQL, op2_hilbert_sharding
 from .language_id import op10_language_id
 from .media import op4_iso_media
 from .mixing import OP5_SQL, op5_hash_threshold_mix
@@ -28,4 +28,4 @@ QUERIES = {
         op10_language_id,
     )
 }
-ORACLE_SQL = {"op5_hash_threshold_mix": OP5_SQL, "op6_ngram_jaccard": OP6_SQL, "op8_suffix_dedup": OP8_SQL, "op9_rabin_karp_dedup": OP9_SQL}
+ORACLE_SQL = {"op2_hilbert_sharding": OP2_SQL, "op5_hash_threshold_mix": OP5_SQL, "op6_ngram_jaccard": OP6_SQL, "op8_suffix_dedup": OP8_SQL, "op9_rabin_karp_dedup": OP9_SQL}

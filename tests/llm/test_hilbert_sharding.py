@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm.hilbert_sharding import Dimension, hilbert_index, hilbert_shards, hilbert_table, op2_hilbert_sharding, write_shards
+from sparkloom.llm.hilbert_sharding import OP2_SQL, Dimension, hilbert_index, hilbert_shards, hilbert_table, op2_hilbert_sharding, write_shards
 
 
 @pytest.mark.parametrize(("dims", "bits"), [(2, 3), (3, 2), (4, 1)])
@@ -99,6 +99,16 @@ def test_query_against_a_plain_version(spark, docs, tmp_path):
     assert sorted(tuple(r)[:7] for r in out) == sorted(wanted)
 
 
+def test_query_equals_its_sql(spark, docs, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    out, said = op2_hilbert_sharding(spark, str(tmp_path)), con.sql(OP2_SQL)
+    place = [said.columns.index(c) for c in out.columns]
+    assert sorted((tuple(r[i] for i in place) for r in said.fetchall()), key=repr) == sorted((tuple(r) for r in out.collect()), key=repr)
+
+
 def test_columns_of_any_name(spark):
     df = spark.range(60).selectExpr("id", "id % 7 AS a", "id % 5 AS b", "concat('x', id) AS `__at`", "id AS `__rank`", "id AS column_0", "id AS `__c0`")
     out = hilbert_shards(df, [Dimension("a"), Dimension("b")], 4, ["id"])
