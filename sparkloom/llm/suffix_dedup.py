@@ -6,10 +6,10 @@ of 240 bytes (their anchor) form a run; a run's bytes are its context. Equal win
 2. equal contexts are one string with a multiplicity: blocks exchange the hashes of the contexts that are left, and one copy
    of each goes on, marked if there are more;
 3. contexts of one anchor meet in a bucket by its hash. Those that one block sends are a shard: its suffixes are sorted and
-   give the shard's transform, over symbols of 50 bytes (a context's chains of every 50th position are its strings, so a
-   400-byte prefix is eight symbols). The shards' transforms are merged by iterative interleave refinement: each round
+   give the shard's transform, over symbols of 100 bytes (a context's chains of every 100th position are its strings, so a
+   400-byte prefix is four symbols). The shards' transforms are merged by iterative interleave refinement: each round
    sorts the interleave stably by the transform's symbols and carries the boundaries of equal prefixes along, so after
-   eight rounds the interleave's blocks are the sets of suffixes with a common prefix of 400 bytes. Suffixes are never
+   four rounds the interleave's blocks are the sets of suffixes with a common prefix of 400 bytes. Suffixes are never
    sorted again. Blocks that count two or more, multiplicities included, are the repeated intervals;
 4. each block of documents marks its repeated windows, and the bytes they cover go.
 
@@ -31,7 +31,8 @@ from pyspark.sql import types as T
 from .blocks import BLOCK, HASHES, Blocks, answers, cut_points, gathered, lookup, per_group, text_column, to_buckets, told
 from .common import BYTE_BASE, fields, mix64, pack_sorted, powers, read_table, refuse, slices, text_buffer, unpack_sorted
 
-DEPTH = 8
+#: Symbols in a window.
+DEPTH = 4
 
 
 class Rolling:
@@ -129,17 +130,18 @@ def merge_transforms(transforms: list[np.ndarray], chains: list[int], depth: int
     one block agree in ``depth`` symbols (or end alike before)."""
     kind = np.uint16 if len(transforms) < 1 << 16 else np.int64
     merged = np.repeat(np.arange(len(transforms), dtype=kind), [len(t) for t in transforms])
-    joined = np.concatenate(transforms)
+    joined = np.concatenate(transforms).astype(np.int32)
     heads = np.repeat(np.arange(len(transforms), dtype=kind), chains)
-    block = np.zeros(len(merged), np.int64)
+    block, symbol = np.zeros(len(merged), np.int32), np.empty(len(merged), np.int32)
     for _ in range(depth):
-        symbol = np.empty(len(merged), joined.dtype)
         symbol[np.argsort(merged, kind="stable")] = joined  # each shard's rows keep their order
         inner = np.flatnonzero(symbol >= 0)
-        order = inner[stable_order(symbol[inner])]
-        new = np.ones(len(order), np.int64)
-        new[1:] = (symbol[order][1:] != symbol[order][:-1]) | (block[order][1:] != block[order][:-1])
-        block = np.concatenate([np.zeros(len(heads), np.int64), np.cumsum(new)])
+        key = np.sort((symbol[inner].astype(np.uint64) << np.uint64(32)) | inner.astype(np.uint64))  # stable: the place is in it
+        order, sorted_ = (key & np.uint64(0xFFFFFFFF)).astype(np.int64), key >> np.uint64(32)
+        before = block[order]
+        new = np.ones(len(order), np.int32)
+        new[1:] = (sorted_[1:] != sorted_[:-1]) | (before[1:] != before[:-1])
+        block = np.concatenate([np.zeros(len(heads), np.int32), np.cumsum(new, dtype=np.int32)])
         merged = np.concatenate([heads, merged[order]])
     return merged, block
 
@@ -203,17 +205,17 @@ def suffix_dedup(df: DataFrame, key: str, text: str, size: int = 400, whole_char
 
     A byte goes if a string of ``size`` bytes that covers it also starts anywhere else, in the same text or another.
     Matches lie inside one text; all copies go, the first too; strings are judged on the input. A null text counts as
-    empty; texts of fewer bytes lose nothing. ``size`` is a multiple of 8. ``key`` only deals rows to blocks: it may be
+    empty; texts of fewer bytes lose nothing. ``size`` is a multiple of 4. ``key`` only deals rows to blocks: it may be
     null or repeated. ``whole_characters``: a character of several bytes goes only if all of them do, so that what is kept
     is valid UTF-8. An empty table gives no rows. Columns of the new names raise ValueError; others may have any name.
     """
     refuse(df, SPANS)
     if size % DEPTH or size < 2 * DEPTH:
-        raise ValueError("the size must be a multiple of 8, and 16 at least")
+        raise ValueError("the size must be a multiple of 4, and 8 at least")
     given, names = df.schema, [f"column_{k}" for k in range(len(df.columns))]
     key, text, df = names[given.names.index(key)], names[given.names.index(text)], df.toDF(*names)
     blocks = Blocks(df, text, key)
-    buckets, width = max(blocks.buckets(0.05), blocks.size // (4 << 20)), (size - size * 3 // 5 + 8) // 8
+    buckets, width = max(blocks.buckets(0.05), blocks.size // (2 << 20)), (size - size * 3 // 5 + 8) // 8
 
     def runs(table: pa.Table):
         data, offsets = text_buffer(table.column(text))
