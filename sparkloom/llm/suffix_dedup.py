@@ -215,7 +215,8 @@ def suffix_dedup(df: DataFrame, key: str, text: str, size: int = 400, whole_char
     given, names = df.schema, [f"column_{k}" for k in range(len(df.columns))]
     key, text, df = names[given.names.index(key)], names[given.names.index(text)], df.toDF(*names)
     blocks = Blocks(df, text, key)
-    buckets, width = max(blocks.buckets(0.05), blocks.size // (2 << 20)), (size - size * 3 // 5 + 8) // 8
+    few, buckets = blocks.buckets(0.05), max(blocks.buckets(0.05), blocks.size // (2 << 20))  # for hashes; for texts
+    width = (size - size * 3 // 5 + 8) // 8
 
     def runs(table: pa.Table):
         data, offsets = text_buffer(table.column(text))
@@ -226,7 +227,7 @@ def suffix_dedup(df: DataFrame, key: str, text: str, size: int = 400, whole_char
         return table.column(BLOCK)[0].as_py()
 
     def emit_anchors(table: pa.Table) -> pa.Table:
-        return to_buckets(number(table), np.unique(np.concatenate([x[6] for x in runs(table)])), buckets)
+        return to_buckets(number(table), np.unique(np.concatenate([x[6] for x in runs(table)])), few)
 
     def meet_anchors(table: pa.Table) -> pa.Table:
         hashes, block, _, _ = gathered(table)
@@ -254,7 +255,7 @@ def suffix_dedup(df: DataFrame, key: str, text: str, size: int = 400, whole_char
         fresh[1:] = (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1])
         at = np.flatnonzero(fresh)
         times = np.minimum(np.diff(np.append(at, len(anchor))), 2).astype(np.uint8)
-        return to_buckets(number(table), anchor[at], buckets, contexts=context[at], times=times)
+        return to_buckets(number(table), anchor[at], few, contexts=context[at], times=times)
 
     def meet_contexts(table: pa.Table) -> pa.Table:
         anchor, block, order, _ = gathered(table)
@@ -410,8 +411,8 @@ def suffix_dedup(df: DataFrame, key: str, text: str, size: int = 400, whole_char
         made = [pa.array(np.concatenate(n_bytes), pa.int64()), pa.array(np.concatenate(n_removed), pa.int64()), pa.chunked_array(spans), text_column(kept, pa.binary())]
         return pa.table([*[table.column(c) for c in names], *made], names=[*names, *SPANS])
 
-    known = per_group(blocks.emit(emit_anchors, HASHES), "bucket", meet_anchors, ANSWER, buckets)
-    flags = per_group(blocks.answer(known, emit_contexts, HASHES + ", contexts binary, times binary"), "bucket", meet_contexts, ANSWER, buckets)
+    known = per_group(blocks.emit(emit_anchors, HASHES), "bucket", meet_anchors, ANSWER, few)
+    flags = per_group(blocks.answer(known, emit_contexts, HASHES + ", contexts binary, times binary"), "bucket", meet_contexts, ANSWER, few)
     marks = per_group(blocks.answer(flags, emit_marks, MARKS), "bucket", meet_marks, VERDICT, buckets)
     return blocks.answer(marks, finish, T.StructType([*df.schema.fields, *fields(**SPANS).fields])).toDF(*given.names, *SPANS)
 
