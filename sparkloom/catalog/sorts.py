@@ -13,11 +13,13 @@ def ranked(df: DataFrame, *columns: str, ascending=True) -> DataFrame:
     """The sorted rows with their place. The place comes from each sorted partition's row numbers and the rows before it,
     so that no single task sees all rows. The numbered rows are written first: read twice from a plan, they might be cut into
     other partitions the second time."""
-    placed = checkpoint(sort(df, *columns, ascending=ascending).withColumn("__at", F.monotonically_increasing_id()))
-    part = F.shiftright("__at", 33)
-    counts = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
-    before = counts.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), lit(0)).alias("__before"))
-    return placed.withColumn("__part", part).join(before, "__part").select(*df.columns, (F.col("__before") + F.col("__at").bitwiseAND(lit((1 << 33) - 1)) + 1).alias("place"))
+    whole = sort(df, *columns, ascending=ascending).select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("at"))
+    placed = checkpoint(whole)
+    part = F.shiftright("at", 33)
+    counts = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), lit(0)).alias("before"))
+    place = F.col("before") + F.col("at").bitwiseAND(lit((1 << 33) - 1)) + 1
+    return placed.withColumn("part", part).join(before, "part").select("row.*", place.alias("place"))
 
 
 def _sql(columns: str, source: str, order: str) -> str:

@@ -37,11 +37,18 @@ class AggregateFunction(ABC):
         """The result."""
 
 
+#: States that a task holds before it hands them to the exchange, which spills; a key met again then has a second state.
+MAX_STATES = 100_000
+#: All NaN keys are one group: a dictionary finds one and the same object, but no other NaN.
+_NAN = float("nan")
+
+
 def custom_aggregate(df: DataFrame, keys: Sequence[str], column: str, function: AggregateFunction, name: str) -> DataFrame:
     """One row for each combination of keys: the keys and the function's result under ``name``.
 
-    Each task folds its rows into one state for each key it meets; states, not rows, are shuffled, so a hot key costs one
-    state a task. Built-in aggregates are far faster: use this only for what they cannot say.
+    Each task folds its rows into one state for each key it meets, and passes the states on whenever it holds MAX_STATES of
+    them, so its memory does not grow with the number of keys. States, not rows, are shuffled: a hot key costs one state a
+    task and pass. Built-in aggregates are far faster: use this only for what they cannot say.
     """
     if not keys:
         raise ValueError("grouping needs a key")
@@ -49,16 +56,25 @@ def custom_aggregate(df: DataFrame, keys: Sequence[str], column: str, function:
     partial = T.StructType([*key_fields, T.StructField("__state", T.BinaryType())])
     final = T.StructType([*key_fields, T.StructField(name, T._parse_datatype_string(function.result_type))])
     kinds = [to_arrow_type(f.dataType) for f in key_fields]
-    width = len(keys)
+    width, most = len(keys), MAX_STATES
+    floating = [k for k, f in enumerate(key_fields) if isinstance(f.dataType, T.DoubleType | T.FloatType)]
+
+    def handed_on(states: dict[tuple, Any]) -> pa.RecordBatch:
+        made = [pa.array([k[i] for k in states], kind) for i, kind in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays([*made, pa.array([pickle.dumps(s) for s in states.values()], pa.binary())], names=[*keys, "__state"])
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         states: dict[tuple, Any] = {}
         for batch in batches:
             values = [c.to_pylist() for c in batch.columns]
+            for k in floating:
+                values[k] = [_NAN if x != x else x for x in values[k]]
             for key, value in zip(zip(*values[:width], strict=True), values[width], strict=True):
                 states[key] = function.update(states[key] if key in states else function.initialize(), value)
-        made = [pa.array([k[i] for k in states], kind) for i, kind in enumerate(kinds)]
-        yield pa.RecordBatch.from_arrays([*made, pa.array([pickle.dumps(s) for s in states.values()], pa.binary())], names=[*keys, "__state"])
+            if len(states) >= most:
+                yield handed_on(states)
+                states = {}
+        yield handed_on(states)
 
     def finish(table: pa.Table) -> pa.Table:
         state = function.initialize()

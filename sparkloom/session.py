@@ -15,8 +15,9 @@ class SessionOptions:
     """What a caller may choose; everything else is Spark's own default.
 
     ``task_retries`` counts attempts after the first. ``broadcast_limit_mb`` is the largest side that joins may broadcast
-    without being told to. ``event_log`` is an existing folder for Spark's log of sessions, stages, tasks and retries. ``extra`` holds
-    any further Spark settings.
+    without being told to. ``event_log`` is an existing folder for Spark's log of sessions, stages, tasks and retries, one plain
+    file each (see ``operators.event_log``). Reliable checkpoints are deleted once nothing refers to them. ``extra`` holds any
+    further Spark settings.
     """
 
     master: str = "local[4]"
@@ -43,10 +44,16 @@ class SessionOptions:
             "spark.sql.adaptive.enabled": "true",
             "spark.sql.ansi.enabled": "true",
             "spark.sql.session.timeZone": "UTC",
-            **({"spark.eventLog.enabled": "true", "spark.eventLog.dir": self.event_log} if self.event_log else {}),
+            "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+            **self._logged(),
             **self.extra,
         }
 
+    def _logged(self) -> dict[str, str]:
+        if not self.event_log:
+            return {}
+        return {"spark.eventLog.enabled": "true", "spark.eventLog.dir": self.event_log, "spark.eventLog.rolling.enabled": "false", "spark.eventLog.compress": "false"}
+
     def master_url(self) -> str:
         """``local`` and ``local[N]`` carry the retries, which local mode takes from its URL only."""
         found = re.fullmatch(r"local(?:\[(\d+|\*)\])?", self.master)

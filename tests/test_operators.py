@@ -1,6 +1,7 @@
 """Operators against plain Python, their checks, and the plans they lead to."""
 
 import random
+import sys
 
 import pytest
 from helpers import rows
@@ -11,7 +12,7 @@ from sparkloom import plans, sources
 from sparkloom.errors import PlanError
 from sparkloom.functions import col, divide, lit, null_safe_eq, null_safe_ne
 from sparkloom.session import SessionOptions
-from sparkloom.sql import SqlContext
+from sparkloom.sql import SqlContext, parse_sql
 
 VESSELS = [("tern", 4, "Oslo"), ("heron", 52, "Lima"), ("gull", None, "Oslo"), ("skua", 23, None), ("petrel", 23, "Lima"), ("auk", 8, "Oslo"), ("dunlin", 61, "Kobe")]
 
@@ -182,6 +183,12 @@ def test_explain_runs_nothing(spark, vessels):
     assert "Physical" in plans.explain(vessels, optimized=True)
 
 
+def test_estimated_bytes(spark, tmp_path):
+    sources.write_parquet(spark.range(5000).selectExpr("id", "cast(id AS string) AS s"), str(tmp_path / "t"))
+    df = sources.read_parquet(spark, str(tmp_path / "t"))
+    assert 0 < plans.estimated_bytes(ops.select(df, "id")) < plans.estimated_bytes(df)
+
+
 def test_session_options():
     made = SessionOptions(master="local[2]", task_retries=2)
     assert made.master_url() == "local[2,3]" and made.settings()["spark.task.maxFailures"] == "3"
@@ -236,3 +243,95 @@ def test_udfs(vessels):
     from sparkloom.functions import udf
 
     assert ("TERN",) in rows(vessels.select(udf(lambda s: s.upper(), "string")("name")))
+
+
+def test_sql_contexts_keep_their_names_to_themselves(spark):
+    one, two = SqlContext(spark), SqlContext(spark)
+    spark.range(5).createOrReplaceTempView("shared")
+    one.register("shared", spark.range(2))
+    two.register("shared", spark.range(3))
+    first, second = one.query("SELECT * FROM shared"), two.query("SELECT * FROM shared")
+    assert (first.count(), second.count(), spark.table("shared").count()) == (2, 3, 5)
+    one.register("mine", spark.range(1))
+    assert one.query("SELECT * FROM mine").count() == 1
+    with pytest.raises(Exception, match="TABLE_OR_VIEW_NOT_FOUND"):
+        two.query("SELECT * FROM mine")
+    spark.catalog.dropTempView("shared")
+    with pytest.raises(Exception, match="TABLE_OR_VIEW_NOT_FOUND"):
+        spark.table("mine")
+
+
+@pytest.mark.parametrize(
+    ("text", "error"),
+    [
+        ("SELECT name FROM vessels WHERE age >", "(?s)PARSE_SYNTAX_ERROR.*line 1, pos 36"),
+        ("SELECT name\nFROM vessels\nWHERE (age > 1", "(?s)PARSE_SYNTAX_ERROR.*line 3, pos"),
+        ("SELECT name FROM vessels nonsense words", "PARSE_SYNTAX_ERROR"),
+        ("SELECT * FROM boats", "TABLE_OR_VIEW_NOT_FOUND"),
+        ("SELECT no_such(age) FROM vessels", "UNRESOLVED_ROUTINE"),
+        ("SELECT name, COUNT(*) FROM vessels GROUP BY port", "MISSING_AGGREGATION"),
+        ("SELECT name, COUNT(*) FROM vessels", "MISSING_GROUP_BY"),
+        ("SELECT name FROM vessels WHERE COUNT(*) > 1", "INVALID_WHERE_CONDITION"),
+        ("SELECT port FROM vessels GROUP BY port HAVING age > 1", "MISSING_AGGREGATION|UNRESOLVED_COLUMN"),
+        ("SELECT port + FROM vessels", "PARSE_SYNTAX_ERROR|UNRESOLVED_COLUMN"),
+    ],
+)
+def test_sql_errors(vessels, text, error):
+    with pytest.raises(Exception, match=error):
+        parse_sql(text, {"vessels": vessels})
+
+
+def test_parse_sql_needs_no_session(vessels):
+    out = parse_sql("SELECT port, MAX(age) AS oldest FROM vessels WHERE age IS NOT NULL GROUP BY port HAVING MAX(age) > 8", {"Vessels": vessels})
+    assert rows(out) == [("Kobe", 61), ("Lima", 52), (None, 23)]
+    assert "Aggregate" in plans.explain(out)
+    with pytest.raises(ValueError):
+        parse_sql("SELECT 1", {})
+
+
+def test_plan_errors(vessels):
+    with pytest.raises(Exception, match="UNRESOLVED_COLUMN"):
+        ops.select(vessels, "draught")
+    with pytest.raises(Exception, match="INVALID_WHERE_CONDITION|MISSING_GROUP_BY|GROUP_EXPRESSION"):
+        ops.where(vessels, F.sum("age") > 1)
+    with pytest.raises(Exception, match="DATATYPE_MISMATCH"):
+        ops.where(vessels, col("age"))
+    with pytest.raises(Exception, match="UNRESOLVED_COLUMN"):
+        ops.sort(vessels, "draught")
+
+
+def test_csv_sample(spark, tmp_path):
+    sources.write_csv(spark.range(2000).selectExpr("id", "id / 2 AS half"), str(tmp_path / "t"))
+    assert dict(sources.read_csv(spark, str(tmp_path / "t"), sample=0.2).dtypes) == {"id": "int", "half": "double"}
+
+
+def test_custom_aggregate_bounds_its_states(spark, monkeypatch):
+    from sparkloom.operators import custom_aggregate as module
+
+    class Total(ops.AggregateFunction):
+        result_type = "bigint"
+
+        def initialize(self):
+            return 0
+
+        def update(self, state, value):
+            return state + (value or 0)
+
+        def merge(self, left, right):
+            return left + right
+
+        def finalize(self, state):
+            return state
+
+    monkeypatch.setattr(sys.modules[module.__module__], "MAX_STATES", 10)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        data = [(float("nan") if k % 5 == 0 else None if k % 7 == 0 else float(k % 90), k) for k in range(600)]
+        df = spark.createDataFrame(data, "k double, v bigint").repartition(3)
+        found = rows(ops.custom_aggregate(df, ["k"], "v", Total(), "total"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    wanted = {}
+    for k, v in data:
+        wanted[repr(k)] = wanted.get(repr(k), 0) + v
+    assert sorted((repr(k), v) for k, v in found) == sorted(wanted.items())
