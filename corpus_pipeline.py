@@ -8,11 +8,13 @@ further than one stage.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import checkpoint, read_table, remove_folder, shared_folder, small_side
+from sparkloom.llm.common import checkpoint, read_table, remove_folder, shared_folder, small_side, trim_executors
 from sparkloom.llm.language_id import N, has_letter, held_out, identify, learn
 from sparkloom.llm.mixing import apply_mix, plan_mix, row_hash, word_count
 from sparkloom.llm.ngram_jaccard import jaccard_components
@@ -37,6 +39,18 @@ def named(rows: DataFrame, names: dict[str, str]) -> DataFrame:
     return rows.select(*names.values()).toDF(*names)
 
 
+def lean(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``stage`` on executors that have given back what the jobs before it left in their memory."""
+
+    @wraps(stage)
+    def trimmed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        trim_executors(spark)
+        return stage(spark, docs, sf_dir)
+
+    return trimmed
+
+
+@lean
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what language ID rejects, and give documents without a ``lang`` the predicted one; a given lang stays.
 
@@ -54,6 +68,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return named(kept.withColumn(lang, F.coalesce(lang, "lang_pred")), at)
 
 
+@lean
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each group of linked ones: the least doc_id (null last), of several such rows the least text hash.
 
@@ -79,6 +94,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return named(kept, at)
 
 
+@lean
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove every repeated string of PASSAGE_BYTES, by whole characters; n_chars follows the text. Null texts stay null; an
     empty table gives no rows. A document that is a repeat from end to end stays, with an empty text."""
@@ -92,6 +108,7 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return named(out, at)
 
 
+@lean
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take documents by their source's target: a document stands as many times as the mix takes it. Only rows of equal
     doc_id and text stand or fall together. A null source is a source, a null text has no words; an empty table gives no rows."""
@@ -104,6 +121,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return named(taken.where("times > 0").withColumn("time", F.explode(F.sequence(F.lit(1), "times"))), at)
 
 
+@lean
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document stands in sequences of 1024 tokens. A null text counts as empty; an empty table
     gives no rows. Only doc_id and text are read."""
